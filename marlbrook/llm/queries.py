@@ -39,6 +39,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.token_counts import count_tokens
