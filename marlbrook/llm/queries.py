@@ -25,6 +25,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.quality_crf import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 @query
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.token_orc import write_and_digest
