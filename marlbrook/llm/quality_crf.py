@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Labelled documents that a model is fitted on at most, and lines of each; the documents with the least hash of their id.
 FIT_DOCS, FIT_LINES = 3000, 200
@@ -242,7 +243,7 @@ def _rounds(texts: list[str]) -> Iterator[list[str]]:
 def quality(text: Column, model: dict) -> Column:
     """Score of whole texts, 0 to 1; a null text scores as an empty one."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [score_texts(run, model) for run in _rounds([t or "" for t in batch.to_pylist()])]

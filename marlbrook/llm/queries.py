@@ -47,6 +47,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.simhash_trie import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), budget=4)
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.mixing import mix_report

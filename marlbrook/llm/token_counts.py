@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from marlbrook.llm.units import BYTE_UNITS, ROUND_CHARS, balanced, unit_ids
 
@@ -21,7 +22,7 @@ def token_length(text: Column, path: str) -> Column:
     units. Special strings inside a text are handled as the file says.
     """
 
-    @F.arrow_udf("bigint")
+    @F.arrow_udf(LongType())
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = unit_ids(path, BYTE_UNITS)
         for batch in batches:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from marlbrook.llm.units import ROUND_CHARS, WORD_UNITS, balanced, unit_ids
 from marlbrook.shared import new_path
@@ -58,7 +59,7 @@ def read_tokens(spark: SparkSession, target: str, doc_ids: list[int] | None = No
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
     for lists in batches:
