@@ -54,6 +54,13 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), budget=4)
 
 
+@query
+def op5_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.cws import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.mixing import mix_report
