@@ -73,3 +73,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op10_sp_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.sp_sample import sample_pieces
+
+    return sample_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), k=2, with_ids=False)
