@@ -80,3 +80,10 @@ def op10_sp_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.sp_sample import sample_pieces
 
     return sample_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), k=2, with_ids=False)
+
+
+@query
+def op9_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.caps import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
