@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marlbrook.shared import cut
 
@@ -175,3 +176,19 @@ def mix_copies(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
 def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each row, repeats counted."""
     return mix_copies(docs, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, with their columns, each repeated as often as ``mix_copies`` takes it.
+
+    Rows that no copy is taken of go. Rows that are equal in doc_id, text and
+    source share their number of copies between them.
+    """
+    key = ["doc_id", "text_crc32", "source"]
+    taken = mix_copies(docs, seed, cap).where("copies > 0")
+    # rows that repeat each other: one row stands for all, with the sum of their copies
+    taken = cut(taken.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies")).select(*(F.col(k).alias(f"_{k}") for k in key), "_copies"), "copies")
+    marked = docs.withColumn("_crc", F.crc32("text"))
+    one = F.row_number().over(Window.partitionBy("doc_id", "_crc", "source").orderBy("_crc"))
+    rows = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_crc").eqNullSafe(F.col("_text_crc32")) & F.col("source").eqNullSafe(F.col("_source")))
+    return rows.withColumn("_one", one).where("_one = 1").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -87,3 +87,19 @@ def op9_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlbrook.llm.caps import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+@query
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlbrook.llm.quotes import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def _oracle() -> None:
+    from marlbrook.llm import quotes
+
+    ORACLE["op7_quotes"] = quotes.SQL
+
+
+_oracle()
