@@ -16,14 +16,14 @@ from marlbrook.shared import new_path
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Stripes hold about so many bytes and are read in parallel; a row index entry and a Bloom filter stand for each stride of rows.
-ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.encoding.strategy": "SPEED", "compression": "zstd"}
+ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.encoding.strategy": "SPEED", "compression": "lz4"}
 
 
 def _encoder(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, part, start = unit_ids(path, WORD_UNITS), TaskContext.get().partitionId(), 0
+        table, part, start = unit_ids(path, WORD_UNITS, fold=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, at = batch.column(0), 0
             for run in balanced([t or "" for t in batch.column(1).to_pylist()], ROUND_CHARS):

@@ -8,22 +8,40 @@ others in batches of about equal bytes.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Units held by one worker, and the longest unit that is held.
-HELD_UNITS, HELD_CHARS = 400_000, 64
+HELD_UNITS, HELD_CHARS = 450_000, 64
 #: Bytes (about) that one call of the library gets, and that one round of texts holds.
-CALL_CHARS, ROUND_CHARS = 1 << 20, 4 << 20
+CALL_CHARS, ROUND_CHARS = 1 << 20, 1 << 20
+
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r".,;:!?#$%&*|()\""
+#: White space and the word after it. Cut where a character that is no white
+#: space meets a blank or a line feed (a byte-level BPE joins the last blank to
+#: the word and looks at most at the run of white space before it), and where
+#: letters meet a sign, which its first split never joins.
+BYTE_UNITS = re.compile(rf"\s*[{_LETTERS}]+(?=[{_SIGNS} \n]|$)|\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
+#: For tokenizers that drop white space: what stands between blanks and line feeds, letters apart from the signs after them.
+WORD_UNITS = re.compile(rf"[{_LETTERS}]+(?=[{_SIGNS}' \n]|$)|[^ \n]+")
+
+
+#: Words that are one word to any tokenizer that splits letters from the rest.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def folded(text: str) -> str:
+    """A text in lower case if all of it is Latin-1, where the case of a letter does not depend on its neighbours; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
-#: White space and the word after it; cut only where a character that is no
-#: white space meets a blank or a line feed. A byte-level BPE joins the last
-#: blank to the word and looks at most at the run of white space before it.
-BYTE_UNITS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
-#: For tokenizers that drop white space: what stands between blanks and line feeds.
-WORD_UNITS = re.compile(r"[^ \n]+")
 
 _LOADED: dict[str, object] = {}
 
@@ -54,45 +72,93 @@ def balanced(texts: list[str], chars: int):
         yield run
 
 
+class Rows(dict):
+    """unit -> row; a unit asked for the first time gets the next row and is noted."""
+
+    def __init__(self, units=(), at: int = 0):
+        super().__init__(units)
+        self.at, self.new = at, []
+
+    def __missing__(self, unit: str) -> int:
+        row = self[unit] = self.at
+        self.at += 1
+        self.new.append(unit)
+        return row
+
+
 class UnitIds:
     """unit -> its ids, as rows of a flat array."""
 
-    def __init__(self, path: str, pattern: re.Pattern):
-        self.tok, self.pattern = load(path), pattern
+    def __init__(self, path: str, pattern: re.Pattern, fold: bool):
+        self.tok, self.pattern, self.fold = load(path), pattern, fold
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.row = Rows()
+        self.starts, self.lens, self.hits, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.ends = self._end_ids()
+
+    def _end_ids(self) -> np.ndarray | None:
+        """Which ids end a word, if the model marks the last piece of each."""
+        model = json.loads(self.tok.to_str())["model"]
+        if not (suffix := model.get("end_of_word_suffix")):
+            return None
+        vocab = self.tok.get_vocab()
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        return out
+
+    def _shrink(self) -> None:
+        """Keep the half of the units that was met most often."""
+        units = list(self.row)
+        at = np.fromiter(self.row.values(), np.int64, len(units))
+        keep = np.sort(np.argsort(-self.hits[at], kind="stable")[: HELD_UNITS // 2])
+        at = at[keep]
+        self.row = Rows(zip((units[k] for k in keep.tolist()), range(len(keep))), len(keep))
+        starts, lens = self.starts[at], self.lens[at]
+        ends = np.cumsum(lens)
+        self.flat = self.flat[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lens), lens)]
+        self.starts, self.lens, self.hits = ends - lens, lens, np.zeros(len(at), np.int64)
 
     def _learn(self, units: list[str]) -> None:
-        got = [e.ids for run in balanced(units, CALL_CHARS) for e in self.tok.encode_batch_fast(run, add_special_tokens=False)]
-        at = len(self.row)
-        self.row.update(zip(units, range(at, at + len(units))))
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+        """Ask the library for new units. Plain words of a model that marks word ends are asked for in one text: each is a word to it."""
+        plain = [i for i, u in enumerate(units) if _PLAIN.fullmatch(u)] if self.ends is not None else []
+        lens, starts, flat = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), self.flat
+        if plain:
+            texts = [" ".join(run) for run in balanced([units[i] for i in plain], 1 << 16)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain):
+                lens[plain], starts[plain] = np.diff(stops, prepend=0), len(flat) + np.concatenate([[0], stops[:-1]])
+                flat = np.concatenate([flat, ids])
+            else:  # not one word each after all
+                plain = []
+        known = set(plain)
+        other = [i for i in range(len(units)) if i not in known]
+        got = [e.ids for run in balanced([units[i] for i in other], CALL_CHARS) for e in self.tok.encode_batch_fast(run, add_special_tokens=False)]
+        if other:
+            lens[other] = list(map(len, got))
+            starts[other] = len(flat) + np.cumsum(lens[other]) - lens[other]
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+        self.flat, self.starts, self.lens = flat, np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int64)])
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The row of each unit of all texts in order, and the number of units of each text."""
-        units = [self.pattern.findall(t) for t in texts]
+        units = [self.pattern.findall(folded(t) if self.fold else t) for t in texts]
         if len(self.row) > HELD_UNITS:
-            self._clear()
-        if new := list(set().union(*units).difference(self.row)):
-            self._learn(new)
+            self._shrink()
         counts = np.fromiter(map(len, units), np.int64, len(units))
-        find = self.row.__getitem__
-        rows = np.fromiter((find(u) for us in units for u in us), np.int64, int(counts.sum()))
-        self._forget()
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        new, self.row.new = self.row.new, []
+        if new:
+            self._learn(new)
+        self.hits += np.bincount(rows, minlength=len(self.hits))
+        for u in new:
+            if len(u) > HELD_CHARS:
+                del self.row[u]
         return rows, counts
 
-    def _forget(self) -> None:
-        """Long units leave the dictionary; their ids stay until the next clearing."""
-        long = [u for u in self.row if len(u) > HELD_CHARS] if len(self.row) > HELD_UNITS else []
-        for u in long:
-            del self.row[u]
-
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         rows, counts = self.rows(texts)
@@ -113,9 +179,9 @@ class UnitIds:
 _UNITS: dict[tuple[str, str], UnitIds] = {}
 
 
-def unit_ids(path: str, pattern: re.Pattern) -> UnitIds:
-    """The worker's table for a tokenizer file."""
+def unit_ids(path: str, pattern: re.Pattern, fold: bool = False) -> UnitIds:
+    """The worker's table for a tokenizer file. ``fold``: the tokenizer lowers case itself, so units may be met in lower case."""
     key = (path, pattern.pattern)
     if key not in _UNITS:
-        _UNITS[key] = UnitIds(path, pattern)
+        _UNITS[key] = UnitIds(path, pattern, fold)
     return _UNITS[key]
