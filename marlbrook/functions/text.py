@@ -64,12 +64,12 @@ def percent_text(n: Column, total: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit; a question mark for nothing."""
+    """Bytes with a unit, ties to even; a question mark for nothing."""
     x = n.cast("double")
     out = F.when(n.isNull() | (n == 0), "?").when(n < 1024, F.format_string("%.0fB", x))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", x / float(1024**power)))
-    return out.otherwise(F.format_string("%.1fTB", x / float(1024**4)))
+        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", F.bround(x / float(1024**power), 1)))
+    return out.otherwise(F.format_string("%.1fTB", F.bround(x / float(1024**4), 1)))
 
 
 def whole(c: Column) -> Column:
