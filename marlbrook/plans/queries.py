@@ -460,9 +460,11 @@ def dbscan_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_DB} SELECT cluster, count(*) AS size, list_slice(list(id ORDER BY id), 1, 3) AS sample FROM db WHERE cluster >= 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def cluster_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = similarity.dbscan(table(spark, sf_dir, "embeddings"), EPS).where("cluster >= 0")
-    three = F.expr("min(id)")
-    best = c.groupBy("cluster").agg(F.count("*").alias("size"), three.alias("m")).orderBy(F.desc("size"), "cluster").limit(20)
-    return c.join(F.broadcast(best), "cluster").groupBy("cluster", "size").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 3).alias("sample"))
+    best = c.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("i1")).orderBy(F.desc("size"), "cluster").limit(20)
+    # the first three members by three minima: no member list is ever gathered
+    for k in (2, 3):
+        best = c.join(F.broadcast(best), "cluster").groupBy("cluster", "size", *(f"i{i}" for i in range(1, k))).agg(F.min(F.when(F.col("id") > F.col(f"i{k - 1}"), F.col("id"))).alias(f"i{k}"))
+    return best.select("cluster", "size", F.array_compact(F.array("i1", "i2", "i3")).alias("sample"))
 
 
 # Statistics ------------------------------------------------------------------------
