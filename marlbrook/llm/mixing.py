@@ -184,11 +184,11 @@ def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     Rows that no copy is taken of go. Rows that are equal in doc_id, text and
     source share their number of copies between them.
     """
-    key = ["doc_id", "text_crc32", "source"]
-    taken = mix_copies(docs, seed, cap).where("copies > 0")
+    names = ["doc_id", "text_crc32", "source"]
+    taken = mix_copies(docs, seed, cap).where("copies > 0").groupBy(*names).agg(F.sum("copies").cast("int").alias("copies"))
+    taken = cut(taken.withColumn("key", F.xxhash64(*names)), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.crc32("text").alias("t"), F.col("source").alias("s"))
+    rows = rows.withColumn("key", F.xxhash64("d", "t", "s")).join(taken, "key").where(F.col("d").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("text_crc32")) & F.col("s").eqNullSafe(F.col("source")))
     # rows that repeat each other: one row stands for all, with the sum of their copies
-    taken = cut(taken.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies")).select(*(F.col(k).alias(f"_{k}") for k in key), "_copies"), "copies")
-    marked = docs.withColumn("_crc", F.crc32("text"))
-    one = F.row_number().over(Window.partitionBy("doc_id", "_crc", "source").orderBy("_crc"))
-    rows = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_crc").eqNullSafe(F.col("_text_crc32")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_one", one).where("_one = 1").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    one = F.row_number().over(Window.partitionBy("key", "d", "t", "s").orderBy("key"))
+    return rows.withColumn("one", one).where("one = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

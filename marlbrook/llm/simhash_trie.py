@@ -245,8 +245,11 @@ def simhash_components(docs: DataFrame, budget: int = 4) -> DataFrame:
 def keep_first(docs: DataFrame, budget: int = 4) -> DataFrame:
     """The rows of ``docs``, with their columns, of one document of each component: that of the least doc_id.
 
-    Rows that repeat a doc_id: one of them stays, the first by text.
+    Rows that repeat a doc_id: one of them stays, the first by text. Rows
+    without a doc_id can't stand for a component and stay all.
     """
-    kept = simhash_components(docs, budget).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(cut(kept, "kept"), F.col("doc_id") == F.col("_keep")).drop("_keep")
-    return rows.dropDuplicates(["doc_id"])
+    kept = cut(simhash_components(docs, budget).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row.text").asc_nulls_first()))
+    one = rows.join(kept.withColumnRenamed("doc_id", "key"), "key").withColumn("first", first).where("first = 1").select("row.*")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
