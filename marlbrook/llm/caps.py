@@ -36,8 +36,10 @@ class Filters:
 
     def __init__(self, dim: int, codes: int, rotation: int):
         rng = np.random.Generator(np.random.PCG64([SEED, dim, codes, rotation]))
-        self.dim, self.codes, self.wide, self.base = dim, codes, max(2, dim + dim % 2), dim * ROTATIONS + rotation << 40
+        self.dim, self.wide, self.base = dim, max(2, dim + dim % 2), dim * ROTATIONS + rotation << 40
         half = self.wide // 2
+        # few directions differ in few dimensions: more codes would only repeat them
+        self.codes = codes = min(codes, 4 ** min(half, 12))
         self.rotation = np.linalg.qr(rng.standard_normal((self.wide, self.wide)))[0]
         self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) for b in rng.standard_normal((2, codes, half))]
         probe = rng.standard_normal((64, self.wide))
