@@ -11,6 +11,7 @@ from marlbrook.catalog import NOTES_SQL, SCORED_SQL, SKILLS_SQL, USAGE_SQL, note
 from marlbrook.functions import text as T
 from marlbrook.operators import audit, scoring, search, similarity, stats
 from marlbrook.operators.graph import connected_components
+from marlbrook.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -459,7 +460,7 @@ def dbscan_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_DB} SELECT cluster, count(*) AS size, list_slice(list(id ORDER BY id), 1, 3) AS sample FROM db WHERE cluster >= 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def cluster_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = similarity.dbscan(table(spark, sf_dir, "embeddings"), EPS).where("cluster >= 0")
+    c = cut(similarity.dbscan(table(spark, sf_dir, "embeddings"), EPS).where("cluster >= 0"), "clusters")
     best = c.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("i1")).orderBy(F.desc("size"), "cluster").limit(20)
     # the first three members by three minima: no member list is ever gathered
     for k in (2, 3):
