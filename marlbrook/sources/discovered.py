@@ -62,3 +62,39 @@ def sweep(keywords: list[str], search: Callable[[str, int], list[dict]], found:
         if len(found) - before < LEAST_GROWTH:
             break
     return found
+
+#: A listing of fewer rows is swept as well.
+FEW = 100
+
+
+class CookieInvalid(RuntimeError):
+    """The service refuses the cookie."""
+
+
+def refused(message: str) -> bool:
+    """Whether an error's text says that the cookie is not accepted."""
+    return any(s in message for s in ("401", "403", "无登录", "未登录"))
+
+
+def listed(fetch: Callable[[int], list[dict]]) -> dict[str, dict]:
+    """All rows of a listing by identifier, the first of each; a refused cookie raises, another error ends the listing with what it has."""
+    found: dict[str, dict] = {}
+    try:
+        for row in pages(fetch, stop_after_empty=2):
+            if row.get("identifier"):
+                found.setdefault(row["identifier"], row)
+    except Exception as e:
+        if refused(str(e)):
+            raise CookieInvalid(str(e)) from e
+    return found
+
+
+def discover(listing: Callable[[int], list[dict]] | None, search: Callable[[str, int], list[dict]], keywords: list[str] | None = None) -> dict[str, dict]:
+    """The listing if there is one and its cookie holds, merged with a sweep if it is short; else the sweep alone."""
+    found: dict[str, dict] = {}
+    if listing is not None:
+        try:
+            found = listed(listing)
+        except CookieInvalid:
+            found = {}
+    return found if len(found) >= FEW else sweep(keywords or SWEEP_CHARACTERS, search, found)

@@ -136,3 +136,41 @@ def test_reports(spark, tmp_path):
     assert r"a\_b" in sinks.latex("T", df) and "| a_b | 0.5 |" in sinks.markdown("R", {"s": df}) and json.loads(sinks.to_json(df))[0]["score"] == 0.5
     sinks.write_csv(df, str(tmp_path / "c"), order="score")
     assert [r.identifier for r in sinks.read_csv(spark, str(tmp_path / "c"), "identifier string, score double").collect()] == ['q"', "a_b"]
+
+
+def _zip(text):
+    import io
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("SKILL.md", text)
+    return out.getvalue()
+
+
+def test_download(spark):
+    import hashlib
+
+    body = _zip("# Fetched\nx")
+
+    def fetch(key):
+        if key == "bad":
+            raise TimeoutError("no answer")
+        return {"identifier": key, "version": "1/0", "zip_url": "u", "sha256": hashlib.sha256(body).hexdigest().upper() if key == "a" else "0"}
+
+    rows = service.download(spark.createDataFrame([("a",), ("bad",), ("c",), ("a",)], "identifier string"), fetch, lambda url: body)
+    got = {r.identifier: r for r in rows.collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "downloaded", "bad": "failed", "c": "failed"} and got["a"].path == "a@1_0.zip" and "mismatch" in got["c"].error
+    b = bundles.unpack(rows.where("status = 'downloaded'")).first()
+    assert (b.identifier, b.zip_version, b.status) == ("a", "1_0", "ok")
+
+
+def test_discovery_policy():
+    full = [{"identifier": f"l{i}"} for i in range(120)]
+    search = lambda w, p: [{"identifier": "s"}] if p == 1 else []
+    assert len(discovered.discover(lambda p: full[(p - 1) * 100 : p * 100], search)) == 120
+    assert set(discovered.discover(lambda p: [{"identifier": "l"}] if p == 1 else [], search)) == {"l", "s"}
+
+    def refuse(p):
+        raise RuntimeError("HTTP 401")
+
+    assert set(discovered.discover(refuse, search)) == {"s"}
