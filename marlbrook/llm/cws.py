@@ -17,6 +17,8 @@ SAMPLES, SAMPLE_BITS, WIDTH = 64, 16, 5
 #: Rows of the tables of gamma and uniform variates; a term takes its variates from two rows that separate bits of its hash choose.
 VARIATES = 1 << 13
 SEED = 20240611
+#: Stretches of doc_id for each partition: some in each even out what hashing deals to it.
+STRETCHES = 8
 #: Terms whose samples are compared at once, and words whose hash a worker holds.
 SLICE, HELD_WORDS = 1 << 12, 500_000
 
@@ -179,12 +181,13 @@ def fingerprint_documents(docs: DataFrame, stretches: int | None = None) -> Data
     and holds one text besides the batch.
     """
     spark = docs.sparkSession
-    n = stretches or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    n = stretches or min(parts * STRETCHES, 100_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = rows.select("doc_id").where("doc_id is not null")
     # bounds of about equal rows; one number for each stretch reaches the driver
     probs = [k / n for k in range(1, n)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, probs)), F.lit(10 * n))).first()[0] or []), reverse=True)
+    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, probs)), F.lit(min(10 * n, 100_000)))).first()[0] or []), reverse=True)
     placed = rows.withColumn("stretch", _placed(bounds)("doc_id"))
     first = {r["stretch"]: r["m"] for r in placed.select("stretch", "doc_id").groupBy("stretch").agg(F.max("doc_id").alias("m")).collect()}
     if not first:
@@ -193,5 +196,5 @@ def fingerprint_documents(docs: DataFrame, stretches: int | None = None) -> Data
     own = F.struct(F.col("stretch").alias("s"), F.lit(False).alias("l"))
     lent = F.struct(F.col("to").alias("s"), F.lit(True).alias("l"))
     both = placed.withColumn("to", _lent(bounds, first)("doc_id")).withColumn("copy", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, lent))))
-    dealt = both.select(F.col("copy.s").alias("stretch"), F.col("copy.l").alias("lends"), "doc_id", "text").repartition(n, "stretch")
+    dealt = both.select(F.col("copy.s").alias("stretch"), F.col("copy.l").alias("lends"), "doc_id", "text").repartition(parts, "stretch")
     return dealt.sortWithinPartitions(F.col("stretch"), F.col("lends"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()).mapInArrow(_compare, OUT)
