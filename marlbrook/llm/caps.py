@@ -18,7 +18,7 @@ from marlbrook.shared import cut
 #: shares a filter of one code with a probability of about 0.7 (measured: 0.68 to 0.76), of some code with 1 - 0.3^8.
 ROTATIONS, LIST_SIZE = 8, 10
 #: Vectors other than near ones that meet under a filter on average, and the bounds of a codebook.
-LOAD, LEAST_CODES, MOST_CODES = 0.5, 128, 1 << 15
+LOAD, LEAST_CODES, MOST_CODES = 0.1, 128, 1 << 15
 #: Vectors of a block: a fuller filter is verified in pairs of blocks, each a task of its own.
 BLOCK = 1024
 #: Vectors of a group whose pairs are first looked through together with those of other groups.
