@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ def first_wins(*sources: DataFrame) -> DataFrame:
     return rows.groupBy("identifier").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "_rank"]), "_rank").alias("r")).select("r.*")
 
 
-def pages(fetch: Callable[[int], list[dict]], stop_after_empty: int = 1, most: int = MAX_PAGES) -> Iterable[dict]:
-    """Rows of a paged listing until a page is not full or ``stop_after_empty`` pages in a row are empty."""
+def pages(fetch: Callable[[int], list[dict]], stop_after_empty: int = 1, most: int | None = MAX_PAGES) -> Iterable[dict]:
+    """Rows of a paged listing until a page is not full or ``stop_after_empty`` pages in a row are empty; at most ``most`` pages, None for no bound."""
     empty = 0
-    for page in range(1, most + 1):
+    for page in count(1) if most is None else range(1, most + 1):
         rows = fetch(page)
         yield from rows
         empty = empty + 1 if not rows else 0
@@ -80,7 +81,7 @@ def listed(fetch: Callable[[int], list[dict]]) -> dict[str, dict]:
     """All rows of a listing by identifier, the first of each; a refused cookie raises, another error ends the listing with what it has."""
     found: dict[str, dict] = {}
     try:
-        for row in pages(fetch, stop_after_empty=2):
+        for row in pages(fetch, stop_after_empty=2, most=None):
             if row.get("identifier"):
                 found.setdefault(row["identifier"], row)
     except Exception as e:

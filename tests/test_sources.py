@@ -174,3 +174,12 @@ def test_discovery_policy():
         raise RuntimeError("HTTP 401")
 
     assert set(discovered.discover(refuse, search)) == {"s"}
+
+
+def test_a_long_listing_is_read_to_its_end():
+    full = [{"identifier": f"l{i}"} for i in range(5_230)]
+    fetch = lambda p: full[(p - 1) * 100 : p * 100]
+    assert len(discovered.listed(fetch)) == 5_230
+    assert len(discovered.discover(fetch, lambda w, p: [])) == 5_230
+    assert len(discovered.listed(lambda p: fetch(p) if p <= 52 else [])) == 5_200  # all pages full: two empty ones end it
+    assert len(discovered.sweep(["a"], lambda w, p: fetch(p))) == 5_000  # a sweep keeps its bound
