@@ -91,6 +91,7 @@ class UnitIds:
 
     def __init__(self, path: str, pattern: re.Pattern, fold: bool):
         self.tok, self.pattern, self.fold = load(path), pattern, fold
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -143,9 +144,14 @@ class UnitIds:
         self.flat, self.starts, self.lens = flat, np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
         self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int64)])
 
+    def _folded(self, text: str) -> str:
+        """The text in lower case where that changes no token: the library looks for added tokens before it lowers case."""
+        low = folded(text)
+        return text if any(low.count(c) != text.count(c) for c in self.added) else low
+
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The row of each unit of all texts in order, and the number of units of each text."""
-        units = [self.pattern.findall(folded(t) if self.fold else t) for t in texts]
+        units = [self.pattern.findall(self._folded(t) if self.fold else t) for t in texts]
         if len(self.row) > HELD_UNITS:
             self._shrink()
         counts = np.fromiter(map(len, units), np.int64, len(units))

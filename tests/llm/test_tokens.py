@@ -30,6 +30,14 @@ def test_units_agree_with_the_library(path, pattern, fold, monkeypatch):
         assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_in_other_case_are_plain_text():
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> B", "x<|ENDOFTEXT|> <|endoftext|>Y", "<|STARTOFTEXT|>", "<|startoftext|>Ab <|endoftext|>", "É <|endofText|>", "Σ <|ENDOFTEXT|>"]
+    tok, table = Tokenizer.from_file(WORD), UnitIds(WORD, WORD_UNITS, True)
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    ids, n = table.encode(texts)
+    assert 49407 not in want[0] and n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_counts(docs, docs_rows, wide_docs, empty_docs):
     tok = Tokenizer.from_file(BYTE)
     want = sorted((r[0], len((r[1] or "").encode()), len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in docs_rows)
