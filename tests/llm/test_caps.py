@@ -68,6 +68,22 @@ def test_recall_at_the_threshold():
     assert missed <= 4
 
 
+@pytest.mark.parametrize("codes, pairs", [(1_415, 3000), (10_000, 400), (32_768, 250)])
+def test_misses_do_not_grow_with_the_codebook(codes, pairs):
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((pairs, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.95 * a + np.sqrt(1 - 0.95**2) * b
+    missed = 1.0
+    for r in range(caps.n_rotations(codes)):
+        f = caps.Filters(64, codes, r)
+        missed *= np.mean([not np.isin(x, y).any() for x, y in zip(f.decode(a), f.decode(c))])
+    assert missed < 1e-4  # the product of the codes' own shares; the pairs that all miss are too few to count
+
+
 def test_empty_and_query(spark):
     assert caps.near_vectors(spark.createDataFrame([], KIND)).count() == 0
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
