@@ -505,12 +505,12 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_ci(table(spark, sf_dir, "labels").select("quality"), "quality", replicates=2000)
+    return stats.bootstrap_ci(table(spark, sf_dir, "labels").select("quality"), "quality")
 
 
 @query()
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_difference(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 0, F.col("quality") == 1, replicates=2000)
+    return stats.bootstrap_difference(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 0, F.col("quality") == 1)
 
 
 # Scalars ----------------------------------------------------------------------------

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from marlbrook.functions import text as T
@@ -126,3 +127,18 @@ def test_strings(spark):
     assert one(spark, ["a/skill.md", "SKILL.MD", "__MACOSX/SKILL.md"], "array<string>", T.find_entry) == "SKILL.MD"
     assert one(spark, "a@1.0@2.zip", "string", T.archive_version) == "1.0@2"
     assert one(spark, "日本語x😀y", "string", T.trigrams) == ["日本語", "本語x", "語x😀", "x😀y"]
+
+
+def test_bootstrap_queries_draw_as_many_replicates_as_the_operator(spark, monkeypatch):
+    from marlbrook.plans import queries
+
+    asked, means = [], stats.bootstrap_means
+
+    def counted(df, value, replicates=10_000, seed=42):
+        asked.append(replicates)
+        return means(df, value, 20, seed)
+
+    monkeypatch.setattr(stats, "bootstrap_means", counted)
+    for name in ("bootstrap_ci", "bootstrap_difference"):
+        queries.QUERIES[name](spark, SF_SMALL)
+    assert asked == [10_000] * 3
