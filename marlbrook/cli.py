@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> str:
     if a.stats:
         return markdown("Index", {"totals": audit.index_stats(skills), "largest": skills.orderBy(F.desc("zip_size"), "identifier").limit(5).select("identifier", "name", "zip_size")})
     if a.list_tags:
-        return "\n".join(f"{r['cnt']:6d}  {r['tag']}" for r in audit.tag_frequency(skills).orderBy(F.desc("cnt"), "tag").take(1000))
+        return "\n".join(f"{r['cnt']:6d}  {r['tag']}" for r in audit.tag_frequency(skills).orderBy(F.desc("cnt"), "tag").toLocalIterator())
     if a.show:
         row = skills.where(F.col("identifier") == a.show).select("skill_md_text").first()
         return row[0] or "" if row else "(no such bundle)"

@@ -45,16 +45,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def to_json(small: DataFrame) -> str:
-    """A report of a few rows as indented JSON."""
-    return json.dumps([json.loads(r) for r in small.toJSON().take(10_000)], ensure_ascii=False, indent=2)
+    """A report as indented JSON, all rows."""
+    return json.dumps([json.loads(r) for r in small.toJSON().toLocalIterator()], ensure_ascii=False, indent=2)
 
 
 def markdown(title: str, sections: dict[str, DataFrame]) -> str:
-    """A report: each section a small table, of which 200 rows are shown."""
+    """A report: each section a table with all its rows."""
     out = [f"# {title}", ""]
     for name, df in sections.items():
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in df.take(200)] + [""]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in df.toLocalIterator()] + [""]
     return "\n".join(out)
 
 
@@ -62,12 +62,12 @@ _TEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{",
 
 
 def latex(caption: str, df: DataFrame) -> str:
-    """A small table in LaTeX."""
+    """A table in LaTeX, all rows."""
     def cell(v) -> str:
         return "".join(_TEX.get(c, c) for c in ("" if v is None else str(v)))
 
     head = " & ".join(map(cell, df.columns)) + r" \\"
-    rows = [" & ".join(map(cell, r)) + r" \\" for r in df.take(200)]
+    rows = [" & ".join(map(cell, r)) + r" \\" for r in df.toLocalIterator()]
     return "\n".join([r"\begin{table}[h]", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", head, r"\hline", *rows, r"\hline", r"\end{tabular}", r"\end{table}"])
 
 

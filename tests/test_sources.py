@@ -183,3 +183,14 @@ def test_a_long_listing_is_read_to_its_end():
     assert len(discovered.discover(fetch, lambda w, p: [])) == 5_230
     assert len(discovered.listed(lambda p: fetch(p) if p <= 52 else [])) == 5_200  # all pages full: two empty ones end it
     assert len(discovered.sweep(["a"], lambda w, p: fetch(p))) == 5_000  # a sweep keeps its bound
+
+
+def test_reports_hold_all_rows(spark, tmp_path):
+    from marlbrook import cli
+
+    rows = spark.range(10_050)
+    assert len(json.loads(sinks.to_json(rows))) == 10_050
+    assert sinks.markdown("t", {"s": rows.limit(250)}).count("\n| ") == 252
+    assert sinks.latex("t", rows.limit(250)).count(r"\\") == 251
+    rows.limit(1_200).selectExpr("concat('i', id) identifier", "array(concat('t', id)) tags").write.parquet(f"{tmp_path}/skills")
+    assert len(cli.main(["--skills", f"{tmp_path}/skills", "--list-tags"]).splitlines()) == 1_200
