@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from marlbrook.llm.units import BYTE_UNITS, ROUND_CHARS, balanced, unit_ids
+from marlbrook.llm.units import BYTE_UNITS, ROUND_BYTES, balanced, unit_ids
 
 
 def token_length(text: Column, path: str) -> Column:
@@ -27,7 +27,7 @@ def token_length(text: Column, path: str) -> Column:
         table = unit_ids(path, BYTE_UNITS)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
-            found = [table.lengths(run) for run in balanced(texts, ROUND_CHARS)]
+            found = [table.lengths(run) for run in balanced(texts, ROUND_BYTES)]
             yield pa.array(np.concatenate(found) if found else [], pa.int64())
 
     return lengths.asNondeterministic()(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from marlbrook.llm.units import ROUND_CHARS, WORD_UNITS, balanced, unit_ids
+from marlbrook.llm.units import ROUND_BYTES, WORD_UNITS, balanced, unit_ids
 from marlbrook.shared import new_path
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
@@ -26,7 +26,7 @@ def _encoder(path: str, end_id: int):
         table, part, start = unit_ids(path, WORD_UNITS, fold=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, at = batch.column(0), 0
-            for run in balanced([t or "" for t in batch.column(1).to_pylist()], ROUND_CHARS):
+            for run in balanced([t or "" for t in batch.column(1).to_pylist()], ROUND_BYTES):
                 ids, lens = table.encode(run)
                 ends = np.cumsum(lens)
                 ids, lens = np.insert(ids, ends, end_id).astype(np.int32), lens + 1  # the end id after each text
