@@ -14,8 +14,6 @@ from marlbrook.shared import cut
 
 #: Rows of one leaf of the reduction tree, and residuals that one inner node combines.
 LEAF_ROWS, FAN_IN = 2048, 64
-#: Residuals of which the root of a source rounds the best set.
-ROOT_ROWS = 18
 
 
 def n_words(text: Column) -> Column:
@@ -84,80 +82,26 @@ def _pivot(sizes: list[int], probs: list[float], rng: random.Random) -> int | No
     return held
 
 
-def _root(sizes: list[int], probs: list[float], rng: random.Random) -> None:
-    """Round the last fractional rows of a source to the set whose words come nearest to what is left."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = [i for i in order if 1e-9 < probs[i] < 1 - 1e-9]
-    while len(left) > ROOT_ROWS:  # pair the smallest ones first
-        pair = left[-2:]
-        s, p = [sizes[i] for i in pair], [probs[i] for i in pair]
-        _pivot(s, p, rng)
-        for i, x in zip(pair, p):
-            probs[i] = x
-        left = [i for i in left if 1e-9 < probs[i] < 1 - 1e-9]
-    want = sum(sizes[i] * probs[i] for i in left)
-    sums = [0]
-    for i in left:
-        sums += [x + sizes[i] for x in sums]
-    best = min(range(len(sums)), key=lambda k: (abs(sums[k] - want), k))
-    for k, i in enumerate(left):
-        probs[i] = float(best >> k & 1)
-    for i, p in enumerate(probs):
-        probs[i] = float(round(p))
-
-
 def _node(seed: int, level: int, root: bool):
-    """Grouped map of one node of the tree. A leaf pairs rows of like size first, so that what is left of each size class is one row."""
+    """Grouped map of one node of the tree: rows play from the largest to the smallest, so what stays fractional is a small row. The root rounds it by its probability."""
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", "prob"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "key", "prob"], ascending=[False, True, True], kind="stable", ignore_index=True)
         sizes, probs = pdf["size"].tolist(), pdf["prob"].tolist()
         rng = _seeded(seed, level, None if pd.isna(pdf["source"][0]) else pdf["source"][0], int(pdf["node"][0]))
-        classes: dict[int, list[int]] = {}
-        for i, s in enumerate(sizes):
-            classes.setdefault(s.bit_length(), []).append(i)
-        for places in classes.values():
-            s, p = [sizes[i] for i in places], [probs[i] for i in places]
-            _pivot(s, p, rng)
-            for i, x in zip(places, p):
-                probs[i] = x
-        if root:
-            _root(sizes, probs, rng)
+        left = _pivot(sizes, probs, rng)
+        if root and left is not None:
+            probs[left] = float(rng.random() < probs[left])
         pdf["prob"] = probs
         return pdf
 
     return combine
 
 
-def mix_copies(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
-    """doc_id, text_crc32, source, size, source_size, target, copies for each row of ``docs(doc_id, text, source)``.
-
-    A source needs target / source_size copies of each of its rows on average.
-    The whole part is given to every row; the fraction is rounded to 0 or 1 by
-    pivotal dependent rounding, so a source's words come within a row of its
-    target and each row keeps its expected number of copies. Rows are dealt to
-    leaves by a hash, so a source with a third of all rows has many; a leaf
-    leaves one fractional row for each size class, inner nodes combine those of
-    FAN_IN nodes, and the root of a source rounds the last ones to the nearest
-    sum of words. Seeded by the row: reruns agree.
-
-    Rows without words (null or empty texts) have size 0 and no copies, except
-    for the whole part of their source's ratio; a source of size 0 has target 0.
-    Null sources are a source, the last. Repeated rows are rounded each. An
-    empty table gives no rows.
-    """
-    slim = cut(docs.select("doc_id", F.crc32("text").alias("text_crc32"), "source", n_words(F.col("text")).alias("size")), "sizes")
-    goal = cut(targets(slim, cap), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = slim.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text_crc32")).withColumn("_q", ratio).withColumn("whole", F.floor(F.col("_q") + 1e-12).cast("long"))
-    rows = rows.withColumn("prob", F.greatest(F.col("_q") - F.col("whole"), F.lit(0.0))).drop("_q")
-    leaves = -(-(goal.agg(F.max("source_rows")).first()[0] or 0) // LEAF_ROWS)
-    live = (F.col("size") > 0) & (F.col("prob") > 1e-9) & (F.col("prob") < 1 - 1e-9)
-    # a source's rows spread over as many leaves as its own share needs
-    rows = rows.withColumn("node", F.pmod(F.col("key"), F.ceil(F.col("source_rows") / LEAF_ROWS)).cast("long")).drop("source_rows")
-    done = [rows.where(~live).withColumn("prob", F.when(F.col("size") > 0, F.round("prob")).otherwise(0.0))]
-    cur, level = rows.where(live), 0
+def _rounded(groups: DataFrame, leaves: int, seed: int) -> DataFrame:
+    """``groups(source, key, size, prob, node)`` with prob 0 or 1: each level of the tree leaves one fractional row of a node, the root none."""
+    live = (F.col("prob") > 1e-9) & (F.col("prob") < 1 - 1e-9)
+    done, cur, level = [groups.where(~live).withColumn("prob", F.round("prob"))], groups.where(live), 0
     while True:
         root = leaves <= 1
         out = cut(cur.groupBy("source", "node").applyInPandas(_node(seed, level, root), cur.schema), f"level{level}")
@@ -170,25 +114,93 @@ def mix_copies(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     all_rows = done[0]
     for d in done[1:]:
         all_rows = all_rows.unionByName(d)
-    return all_rows.select("doc_id", "text_crc32", "source", "size", "source_size", "target", (F.col("whole") + F.col("prob").cast("long")).alias("copies"))
+    return all_rows
+
+
+def _shared_out(rows: DataFrame) -> DataFrame:
+    """copies for each row of ``rows(..., key, source, size, same, all_copies, _m)``: its share of what all ``same`` rows equal to it get.
+
+    Where the share is no whole number, rows count themselves: those of one
+    partition in a window, partitions by a prefix over one number each, so a
+    row that repeats very often is never one task.
+    """
+    same = ["source", "key", "size"]
+    even, odd = rows.where("all_copies % same = 0"), rows.where("all_copies % same <> 0")
+    even = even.withColumn("copies", F.expr("all_copies div same"))
+    odd = odd.withColumn("_p", F.shiftright("_m", 33))
+    counts = odd.groupBy(*same, "_p").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*same).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("size").alias("_z"), F.col("_p").alias("_q"), "_before")
+    place = F.row_number().over(Window.partitionBy(*same, "_p").orderBy("_m")) - 1
+    odd = odd.withColumn("_at", place).join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_z")) & (F.col("_p") == F.col("_q")))
+    odd = odd.withColumn("copies", F.expr("all_copies div same + if(_at + _before < all_copies % same, 1, 0)"))
+    return even.unionByName(odd.select(even.columns)).drop("same", "all_copies")
+
+
+def _taken(slim: DataFrame, seed: int, cap: float) -> DataFrame:
+    """``slim(key, source, size, ...)`` with source_size, target and copies. Rows with equal source, key and size are equal and share their copies."""
+    slim = cut(slim.withColumn("_m", F.monotonically_increasing_id()), "sizes")
+    goal = cut(targets(slim, cap), "targets")
+    same = ["source", "key", "size"]
+    groups = slim.groupBy(*same).agg(F.count("*").alias("same")).join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    groups = groups.withColumn("_q", ratio).withColumn("whole", F.floor(F.col("_q") + 1e-12).cast("long"))
+    # equal rows are one row of the tree: what they are owed together, without its whole part
+    groups = groups.withColumn("_f", F.when(F.col("size") > 0, F.greatest(F.col("_q") - F.col("whole"), F.lit(0.0)) * F.col("same")).otherwise(0.0))
+    groups = groups.withColumn("sure", F.col("whole") * F.col("same") + F.floor(F.col("_f") + 1e-9).cast("long"))
+    # a source's rows spread over as many leaves as its own share needs
+    groups = groups.withColumn("prob", F.greatest(F.col("_f") - F.floor(F.col("_f") + 1e-9), F.lit(0.0))).withColumn("node", F.pmod(F.col("key"), F.ceil(F.col("source_rows") / LEAF_ROWS)).cast("long"))
+    groups = cut(groups.select(*same, "same", "source_size", "target", "sure", "prob", "node"), "groups")
+    leaves = -(-(goal.agg(F.max("source_rows")).first()[0] or 0) // LEAF_ROWS)
+    owed = _rounded(groups, leaves, seed).select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("size").alias("_z"), "same", "source_size", "target", (F.col("sure") + F.col("prob").cast("long")).alias("all_copies"))
+    joined = slim.join(owed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_z"))).drop("_s", "_k", "_z")
+    return _shared_out(joined).drop("_m")
+
+
+def mix_copies(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
+    """doc_id, text_crc32, source, size, source_size, target, copies for each row of ``docs(doc_id, text, source)``.
+
+    A source needs target / source_size copies of each of its rows on average.
+    The whole part is given to every row; the fraction is rounded to 0 or 1 by
+    pivotal dependent rounding, so a source's words come within a row of its
+    target and each row keeps its expected number of copies. Rows are dealt to
+    leaves by a hash, so a source with a third of all rows has many; a leaf
+    pairs its rows from the largest to the smallest and leaves one fractional
+    row, inner nodes combine those of FAN_IN nodes, and the root of a source
+    rounds the last one, a small row, by its probability. Seeded by the row:
+    reruns agree.
+
+    Rows without words (null or empty texts) have size 0 and no copies, except
+    for the whole part of their source's ratio; a source of size 0 has target 0.
+    Null sources are a source, the last; a null doc_id is an id like any other.
+    Repeated rows are one row of the tree, which is owed the copies of all, and
+    share them, so their numbers differ by one at most. An empty table gives no
+    rows.
+    """
+    text = F.col("text")
+    slim = docs.select("doc_id", F.crc32("text").alias("text_crc32"), "source", F.xxhash64("doc_id", text).alias("key"), n_words(text).alias("size"))
+    return _taken(slim, seed, cap).select("doc_id", "text_crc32", "source", "size", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each row, repeats counted."""
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each row, repeats counted.
+
+    Nulls, ties, repeated rows and an empty table: as ``mix_copies`` has it.
+    """
     return mix_copies(docs, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, with their columns, each repeated as often as ``mix_copies`` takes it.
+    """The rows of ``docs``, with all their columns, each repeated as often as ``mix_copies`` would take it.
 
-    Rows that no copy is taken of go. Rows that are equal in doc_id, text and
-    source share their number of copies between them.
+    Rows that no copy is taken of go. Rows are told apart by a number that the
+    first pass gives them in a table of the shared folder, so rows that differ
+    in any column are rows of their own; rows equal in every column share their
+    copies. The draw is seeded by a hash of the whole row: reruns agree. An
+    empty table gives no rows.
     """
-    names = ["doc_id", "text_crc32", "source"]
-    taken = mix_copies(docs, seed, cap).where("copies > 0").groupBy(*names).agg(F.sum("copies").cast("int").alias("copies"))
-    taken = cut(taken.withColumn("key", F.xxhash64(*names)), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.crc32("text").alias("t"), F.col("source").alias("s"))
-    rows = rows.withColumn("key", F.xxhash64("d", "t", "s")).join(taken, "key").where(F.col("d").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("text_crc32")) & F.col("s").eqNullSafe(F.col("source")))
-    # rows that repeat each other: one row stands for all, with the sum of their copies
-    one = F.row_number().over(Window.partitionBy("key", "d", "t", "s").orderBy("key"))
-    return rows.withColumn("one", one).where("one = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    row, whole = F.struct(*docs.columns), [F.to_json(c) if "map<" in t or t == "variant" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    rows = docs.select(row.alias("row"), F.xxhash64(*whole).alias("key"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = _taken(rows.select("_row", "key", "source", "size"), seed, cap).where("copies > 0").select("_row", F.col("copies").cast("int").alias("copies"))
+    return rows.select("_row", "row").join(taken, "_row").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Labelled documents that a model is fitted on at most, and lines of each; the documents with the least hash of their id.
-FIT_DOCS, FIT_LINES = 3000, 200
+from marlbrook.shared import cut
+
+#: Labelled documents that a model is fitted on at most, and lines of all of them together; whole documents in the order of a hash.
+FIT_DOCS, FIT_LINES = 3000, 60_000
 #: Characters of the texts that are scored together.
 ROUND_CHARS = 2 << 20
 
@@ -261,33 +263,43 @@ def _fit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             x, weight, _ = line_features([text or ""])
-            x = np.concatenate([weight[:, None].astype(np.float32), x], 1)[:FIT_LINES]
+            x = np.concatenate([weight[:, None].astype(np.float32), x], 1)
             yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["label", "n", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
-    """A model from at most ``fit_docs`` labelled documents, those whose id has the least hash.
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> dict:
+    """A model from at most ``fit_docs`` labelled documents, those whose id has the least hash, each with its whole text.
 
     Held-out rows are never learnt from. A label that is null is no label; of
-    several labels of a document the least counts, of several rows with one id
-    each counts. The sample is bounded in documents and in lines of each, and
-    so is what reaches the driver. Without a labelled row the score is 0.5.
+    several labels of a document the least counts; rows with one id are rows of
+    their own, up to twice the documents. Together they have at most
+    ``fit_lines`` lines: in the order of a hash a document that would pass that
+    is left out whole and the next is tried. So what reaches the driver is
+    bounded: about 700 bytes for each line. Without a labelled row the score is
+    0.5.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    got = rows.select("text", "label").mapInArrow(_fit_features, "label int, n int, x binary").orderBy(F.xxhash64("x"), "label").limit(2 * fit_docs).collect()
-    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(r["n"], 1 + N_FEATURES) for r in got]) if got else np.zeros((0, 1 + N_FEATURES))
-    x = x.astype(float)
-    return fit(x[:, 1:], x[:, 0], np.array([r["n"] for r in got], int), np.array([r["label"] for r in got], int))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("h"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(1))
+    sized = cut(rows.withColumn("lines", F.greatest(lines, F.lit(1))).orderBy("h").limit(2 * fit_docs), "sample")
+    chosen, held = [], 0
+    for h, n in sorted(tuple(r) for r in sized.select("h", "lines").collect()):
+        if held + n <= fit_lines:
+            chosen.append(h)
+            held += n
+    picked = sized.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in set(chosen)], "h long")), "h") if chosen else sized.limit(0)
+    got = sorted(picked.select("text", "label").mapInArrow(_fit_features, "label int, n int, x binary").collect(), key=lambda r: (bytes(r["x"]), r["label"]))
+    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(r["n"], 1 + N_FEATURES) for r in got]) if got else np.zeros((0, 1 + N_FEATURES), np.float32)
+    return fit(x[:, 1:].astype(float), x[:, 0].astype(float), np.array([r["n"] for r in got], int), np.array([r["label"] for r in got], int))
 
 
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs(doc_id, text)``.
 
-    The score sees the text only. Empty and null texts are one empty line.
-    Repeated rows and equal texts get equal scores. An empty table gives no
+    The score sees the text only. Empty and null texts are one empty line. A
+    null doc_id is not held out and stays null. Repeated rows and equal texts get equal scores. An empty table gives no
     rows; other columns are left out.
     """
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality(F.col("text"), model).alias("score"))
@@ -295,7 +307,12 @@ def score_documents(docs: DataFrame, model: dict, threshold: float = 0.3) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with their columns, that a model of ``labels`` does not reject."""
+    """The rows of ``docs``, with their columns, that a model of ``labels`` does not reject.
+
+    Equal texts have one fate, so repeated rows stay or go together; a null
+    text is judged as an empty one. Columns of ``docs`` may have any name. An
+    empty table gives no rows.
+    """
     name = "_quality"
     while name in docs.columns:
         name += "_"

@@ -10,7 +10,7 @@ feasible capacity is exact.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,29 @@ class _Sums:
         return False, cuts
 
 
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Cuts at known ends with no shard over ``capacity``, each filled to a least size as large as lets ``shards`` shards hold all.
+
+        A shard ends at the first end that gives it that size, or before a
+        group that would take it over the capacity. At the least size
+        ``capacity`` this is the greedy walk, which is feasible.
+        """
+
+        def cuts(least: int) -> list[int]:
+            out, at = [], 0
+            while at < self.total and len(out) <= shards:
+                i = bisect_left(self.ends, at + least)
+                if i == len(self.ends) or self.ends[i] > at + capacity:
+                    i = bisect_right(self.ends, at + capacity) - 1
+                if self.ends[i] <= at:
+                    return [*out, *[self.total] * (shards + 1)]
+                at = self.ends[i]
+                out.append(at)
+            return out
+
+        return cuts(_least(lambda m: len(cuts(m)) <= shards, 1, capacity))
+
+
 def _least(check, low: int, high: int) -> int:
     """The smallest number for which check holds; it holds for high."""
     while low < high:
@@ -79,7 +102,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 
     The capacity is the smallest for which walking the groups in order, and
     opening a shard when the next group does not fit, needs ``shards`` shards
-    or fewer: binary search, checked greedily. No groups: (0, []).
+    or fewer: binary search, checked greedily. Among the cuts of that capacity
+    a second search takes those with the largest least fill, so that no shard
+    is left empty where there are groups for it. No groups: (0, []).
     """
     total, largest = groups.agg(F.max("upto"), F.max("size")).first()
     if not total:
@@ -90,7 +115,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         low = _least(lambda c: sums.walk(c, shards, True)[0], low, high)
         high = _least(lambda c: sums.walk(c, shards, False)[0], low, high)
         if low == high:
-            return low, sums.walk(low, shards, False)[1]
+            return low, sums.even(low, shards)
         a, b = sums.walk(low, shards, False)[1], sums.walk(high, shards, True)[1]
         b += [total] * (len(a) - len(b))
         spans: list[tuple[int, int]] = []
@@ -150,7 +175,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     stand in the order of a hash of the text, and the largest shard is as
     small as any contiguous cut into ``shards`` shards allows. Null texts form
     a group of their own, with a null text_crc32, apart from empty ones; a
-    group larger than the mean fills a shard alone. Slots follow a salt, then
+    group larger than the mean fills a shard alone. Within that capacity shards
+    are filled as evenly as the groups allow. A null doc_id is a row like any other. Slots follow a salt, then
     doc_id. Repeated rows keep a row and a slot each. ``grown_shard`` is null
     under this law. An empty table gives no rows; other columns are left out.
     """
