@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,36 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38)))")).first())
 
 
+#: Edges (16 bytes each) that one task may hold: a graph that small, or contracted so far, is finished there in one pass.
+FOLD_EDGES = 1_000_000
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of all edges -> (node, least node of its component), by passing the smaller label along until nothing changes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # the least label goes to the ends and to what the ends stood for
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, low)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
 def _lower(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
@@ -31,10 +65,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     loops = pairs.where("src = dst").select(F.col("src").alias("u")).distinct()
     cur = cut(pairs.where("src <> dst").select(*_lower(F.col("src"), F.col("dst"))).distinct(), "edges")
-    state = _state(cur)
+    state, whole = _state(cur), None
     for _ in range(max_rounds):
         if not state[0]:
             break
+        if state[0] <= FOLD_EDGES and dict(cur.dtypes) == {"u": "bigint", "v": "bigint"}:
+            whole = cut(cur.coalesce(1).mapInArrow(_fold, "node long, component long"), "folded")
+            break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         star = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -49,8 +86,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    if whole is not None:
+        return whole.unionByName(alone.join(whole.select("node"), "node", "left_anti"))
     named = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = named.unionByName(roots)
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
