@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType
 from pyspark.sql import Window
 
 from marlbrook.operators.graph import connected_components
@@ -21,6 +23,11 @@ BITS = 64
 TRIE_ROWS = 4096
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 15
+#: Similar texts: differing bits that make a pair a candidate, the bits at which one of AIM of all pairs with TYPICAL bits
+#: shares a key, bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
+WIDE, TYPICAL, AIM, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 12, 8, 0.95, 8, 6, 512
+#: Members of a group whose pairs are first looked through together with those of other groups, and words whose hash a worker holds.
+SMALL, HELD_WORDS = 24, 300_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
@@ -51,15 +58,15 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-@F.arrow_udf(LongType())
-def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array(np.array([fingerprint(t or "") for t in batch.to_pylist()], np.uint64).view(np.int64), pa.int64())
+def simhash(text: Column, width: int = 4) -> Column:
+    """The 64 bits of the fingerprint as a long; a null text has the fingerprint 0."""
 
+    @F.arrow_udf(LongType())
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.array([fingerprint(t or "", width) for t in batch.to_pylist()], np.uint64).view(np.int64), pa.int64())
 
-def simhash(text: Column) -> Column:
-    """The 64 bits of the fingerprint as a long; a null text has the fingerprint 0."""
-    return _fingerprints.asNondeterministic()(text)
+    return prints.asNondeterministic()(text)
 
 
 def hex64(bits: Column) -> Column:
@@ -74,6 +81,7 @@ class Trie:
         self.v, self.budget = [int(x) for x in values], budget
         self.parent = list(range(len(self.v)))
         self.one: set[tuple[int, int]] = set()
+        self.links: list[tuple[int, int]] = []  # pairs within the budget, each the first to bring its components together
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -86,6 +94,7 @@ class Trie:
         a, b = self.find(i), self.find(j)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+            self.links.append((i, j))
 
     def node(self, lo: int, hi: int) -> tuple[int, int, int]:
         return lo, hi, BITS - (self.v[lo] ^ self.v[hi - 1]).bit_length()
@@ -149,22 +158,48 @@ def _blocks(bits: int, parts: int) -> list[int]:
     return [bits // parts + (i < bits % parts) for i in range(parts)]
 
 
-def _keys(value: Column, places: list[int], budget: int, tag: Column) -> Column:
-    """Keys of a fingerprint: its bits at two of budget + 2 blocks of ``places``, for each two.
+def _mask(bits: list[int]) -> int:
+    """The bits of a fingerprint that are set in a mask, as a signed long."""
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def _pairs_of_blocks(free: list[int], budget: int) -> list[int]:
+    """Masks of two of budget + 2 blocks of the bits ``free``, for each two.
 
     Of so many blocks two at least have no differing bit if at most ``budget``
-    bits differ, so any two fingerprints that link share a key.
+    bits differ, so any two fingerprints that link agree under one mask.
     """
-    parts, at, blocks = budget + 2, 0, []
-    for n in _blocks(len(places), parts):
-        blocks.append(places[at : at + n])
+    at, blocks = 0, []
+    for n in _blocks(len(free), budget + 2):
+        blocks.append(free[at : at + n])
         at += n
+    return [_mask(x + y) for x, y in itertools.combinations(blocks, 2)]
+
+
+def _deal(masks_of):
+    """(bits, mask, key): fingerprints of groups that are too large for one trie, dealt out again by masks of the bits that their group does not fix."""
 
-    def mask(bits: list[int]) -> int:
-        m = sum(1 << b for b in bits)
-        return m - (1 << 64) if m >= 1 << 63 else m
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[int, list[int]] = {}
+        for batch in batches:
+            bits, mask, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bits", "mask", "key"))
+            for m in np.unique(mask).tolist():
+                if m not in masks:
+                    masks[m] = masks_of([b for b in range(BITS) if not m >> b & 1])
+                own = mask == m
+                b, k = bits[own], key[own].view(np.uint64)
+                for n, more in enumerate(masks[m]):
+                    h = (k ^ (b & np.int64(more)).view(np.uint64) * _ODD[0]) * _ODD[1] + np.uint64(n)
+                    h = (h ^ h >> np.uint64(32)) * _ODD[2]
+                    h ^= h >> np.uint64(29)
+                    both = (m | more) & 0xFFFFFFFFFFFFFFFF
+                    yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(b), both, np.uint64).view(np.int64)), pa.array(h.view(np.int64))], names=["bits", "mask", "key"])
+
+    return run
 
-    return F.array(*(F.struct(F.xxhash64(tag, F.lit(k), value.bitwiseAND(F.lit(mask(x + y)))).alias("key"), F.lit(k).alias("pair")) for k, (x, y) in enumerate(itertools.combinations(blocks, 2))))
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def _stars(budget: int):
@@ -197,26 +232,36 @@ def _stars(budget: int):
     return run
 
 
+def _groups(keyed: DataFrame, masks_of, most: int) -> DataFrame:
+    """``keyed(bits, mask, key)`` with groups of more than ``most`` dealt out by further bits, and what of these has more than 16 times as many dealt out again.
+
+    A dealing repeats each member under several keys, so only groups that
+    would strain one task go on. Each fixes more of the free bits: after five
+    a group holds a few thousand distinct fingerprints at most.
+    """
+    whole, cur = None, cut(keyed, "keyed")
+    for level in range(5):
+        counts = cur.groupBy("key").agg(F.count("*").alias("n"))  # partial counts: a hot key is no task
+        large = cut(counts.where(F.col("n") > most * (16 if level else 1)).select("key"), "large")
+        if not large.limit(1).count():
+            break
+        small = cur.join(large, "key", "left_anti")
+        whole = small if whole is None else whole.unionByName(small)
+        cur = cut(cur.join(large, "key", "left_semi").select("bits", "mask", "key").mapInArrow(_deal(masks_of), "bits long, mask long, key long"), "dealt")
+    return cur if whole is None else whole.unionByName(cur)
+
+
 def trie_links(prints: DataFrame, budget: int = 4) -> DataFrame:
     """(src, dst): enough links between the distinct fingerprints of ``prints(bits)`` to reach whatever links of at most ``budget`` differing bits reach.
 
     Fingerprints meet under the bits of two blocks of six; a group too large
-    for one trie is dealt out again by two blocks of its other bits. A task
-    joins the groups of its partition one after the other and gives at most
-    one link for each member, never all pairs.
+    for one trie is dealt out again by two blocks of its other bits, until it
+    is small. A task joins the groups of its partition one after the other and
+    gives at most one link for each member, never all pairs.
     """
-    blocks, at = [], 0
-    for n in _blocks(BITS, budget + 2):
-        blocks.append(list(range(at, at + n)))
-        at += n
-    first = prints.select("bits", F.inline(_keys(F.col("bits"), list(range(BITS)), budget, F.lit(0))))
-    sized = first.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    again = None
-    for k, (x, y) in enumerate(itertools.combinations(range(budget + 2), 2)):
-        rest = [b for i, bl in enumerate(blocks) if i not in (x, y) for b in bl]
-        deeper = F.transform(_keys(F.col("bits"), rest, budget, F.col("key")), lambda s: s["key"])
-        again = deeper if again is None else F.when(F.col("pair") == k, deeper).otherwise(again)
-    keyed = sized.select("bits", F.explode(F.when(F.col("n") <= TRIE_ROWS, F.array("key")).otherwise(again)).alias("key"))
+    masks = _pairs_of_blocks(list(range(BITS)), budget)
+    keys = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.xxhash64(F.lit(k), F.col("bits").bitwiseAND(F.lit(m))).alias("key")) for k, m in enumerate(masks)))
+    keyed = _groups(prints.select("bits", F.inline(keys)), lambda free: _pairs_of_blocks(free, budget), TRIE_ROWS)
     dealt = keyed.select("key", "bits").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_stars(budget), "src long, dst long")
 
@@ -248,8 +293,157 @@ def keep_first(docs: DataFrame, budget: int = 4) -> DataFrame:
     Rows that repeat a doc_id: one of them stays, the first by text. Rows
     without a doc_id can't stand for a component and stay all.
     """
-    kept = cut(simhash_components(docs, budget).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    return _keep(docs, simhash_components(docs, budget))
+
+
+def _keep(docs: DataFrame, components: DataFrame) -> DataFrame:
+    kept = cut(components.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"))
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row.text").asc_nulls_first()))
     one = rows.join(kept.withColumnRenamed("doc_id", "key"), "key").withColumn("first", first).where("first = 1").select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def sampled_masks(n: int) -> list[int]:
+    """Masks of random bits for n fingerprints: as many bits as n has, so that few others agree under one, and as many masks as let AIM of the pairs with TYPICAL differing bits agree under one."""
+    b = min(28, max(10, (max(n, 2) - 1).bit_length()))
+    agree = math.comb(BITS - TYPICAL, b) / math.comb(BITS, b)
+    rng = random.Random(b)
+    return [_mask(rng.sample(range(BITS), b)) for _ in range(math.ceil(math.log(1 - AIM) / math.log(1 - agree)))]
+
+
+def _further_masks(free: list[int]) -> list[int]:
+    rng = random.Random(repr(free))
+    return [_mask(rng.sample(free, min(FURTHER_BITS, len(free)))) for _ in range(FURTHER_KEYS)]
+
+
+def _candidates(budget: int):
+    """(src, dst) for each group of equal key: the pairs within the budget by which its trie first brings two components together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
+            if len(keys) < 2:
+                return None
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            ends = np.append(starts[1:], len(keys))
+            of = np.repeat(np.arange(len(starts)), ends - starts)
+            near, v = ends - starts > SMALL, values.view(np.uint64)
+            for o in range(1, SMALL):
+                same = np.flatnonzero((of[o:] == of[:-o]) & ~near[of[o:]])
+                if not len(same):
+                    break
+                near[of[same[np.bitwise_count(v[same] ^ v[same + o]) <= budget]]] = True
+            src, dst = [], []
+            for g in np.flatnonzero(near).tolist():
+                u = np.unique(v[starts[g] : ends[g]])
+                trie = Trie(u, budget)
+                trie.join()
+                src += [u[i] for i, _ in trie.links]
+                dst += [u[j] for _, j in trie.links]
+            if src:
+                return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (src, dst)], names=["src", "dst"])
+            return None
+
+        keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
+            values = np.concatenate([values, batch.column(1).to_numpy(zero_copy_only=False)])
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if out := solve(keys[:whole], values[:whole]):
+                yield out
+            keys, values = keys[whole:], values[whole:]
+        if out := solve(keys, values):
+            yield out
+
+    return run
+
+
+_HASHES: dict[bytes, int] = {}
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, words as in ``fingerprint``; without words none."""
+    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).translate(_SPACE).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(_HASHES) > HELD_WORDS:
+        _HASHES.clear()
+    for w in set(words).difference(_HASHES):
+        _HASHES[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(h))):
+        out = (out ^ h[i : i + n]) * _ODD[i % 3] + np.uint64(i)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def jaccard(a: str, b: str, width: int) -> float:
+    """Similarity of the shingle sets of two texts; of two texts without words 1."""
+    x, y = shingles(a, width), shingles(b, width)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _similar(width: int, least: float):
+    @F.arrow_udf(BooleanType())
+    def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([jaccard(x or "", y or "", width) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    return check
+
+
+def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budget: int = WIDE) -> DataFrame:
+    """doc_id, component_id for each row of ``docs(doc_id, text)`` with a doc_id: links are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
+
+    Fingerprints of these shingles meet under the bits of random masks and are
+    joined by tries with a wide budget; what a trie gives is the pairs that
+    first bring two of its components together, fewer than its members, never
+    all pairs. Each such pair is then held against its texts, so no link is
+    below ``least``; a pair whose fingerprints differ in more than the budget,
+    or agree under no mask, is missed (measured in the README). Equal texts are
+    one node from the start, whatever their number. The number of masks follows
+    the number of fingerprints.
+
+    component_id is the least doc_id reached, itself included. Null texts are
+    empty ones; texts without words are alike. Rows that share a doc_id keep a
+    row each. An empty table gives no rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.where("doc_id is not null").select("doc_id", text.alias("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    slim = cut(keyed.select("doc_id", "h1", "h2", simhash(F.col("text"), width).alias("bits")), "fingerprints")
+    nodes = slim.groupBy("h1", "h2", "bits").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes, "nodes")
+    prints = cut(nodes.groupBy("bits").agg(F.min("node").alias("head")), "distinct")
+    masks = F.array(*(F.lit(m).cast("long") for m in sampled_masks(prints.count())))
+    keys = F.transform(masks, lambda m, i: F.struct(m.alias("mask"), F.xxhash64(i, F.col("bits").bitwiseAND(m)).alias("key")))
+    dealt = _groups(prints.select("bits", F.inline(keys)), _further_masks, WIDE_ROWS).select("key", "bits").repartition("key").sortWithinPartitions("key")
+    met = cut(dealt.mapInArrow(_candidates(budget), "src long, dst long").distinct(), "candidates")
+    one, two = prints.select(F.col("bits").alias("src"), F.col("head").alias("a")), prints.select(F.col("bits").alias("dst"), F.col("head").alias("b"))
+    across = met.join(one, "src").join(two, "dst").select("a", "b")
+    # texts of one fingerprint are held against the first of them
+    inside = nodes.join(prints, "bits").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = cut(across.unionByName(inside), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(wanted.join(nodes, "node").select("node", "h1", "h2", F.col("least").alias("doc_id")), "wanted")
+    # repeated rows collapse in the partial aggregate
+    texts = cut(keyed.join(wanted, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    checked = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = cut(checked.where(_similar(width, least)("x", "y")).select("a", "b"), "links")
+    comp = connected_components(links, "a", "b")
+    named = cut(nodes.join(comp, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component")), "named")
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = cut(named.join(first, "component").select("h1", "h2", "component_id"), "labels")
+    return slim.join(label, ["h1", "h2"]).select("doc_id", "component_id")
+
+
+def keep_similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, with their columns, of one document of each component of ``similar_components``: that of the least doc_id.
+
+    Rows that repeat a doc_id: one of them stays, the first by text. Rows
+    without a doc_id can't stand for a component and stay all. An empty table
+    gives no rows.
+    """
+    return _keep(docs, similar_components(docs, least, width))

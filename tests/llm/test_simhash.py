@@ -99,6 +99,57 @@ def test_odd_tables(docs, wide_docs, docs_rows, empty_docs):
     assert kept.columns == wide_docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
+def brute_jaccard(a, b):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_texts(spark, docs, wide_docs, docs_rows, empty_docs):
+    """No link below 0.8, copies always, and most edited copies of 0.8 or more; clean rows stay."""
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 300))) for _ in range(60)]
+    texts = list(base)
+    for t in base[:40]:
+        for rate in (0.003, 0.01, 0.02):
+            texts.append(" ".join(f"z{rng.randrange(4000)}" if rng.random() < rate else w for w in t.split()))
+    texts += [base[0].upper(), base[1].replace(" ", "  "), base[2]] * 3
+    rows = list(enumerate(texts))
+    comp = {r.doc_id: r.component_id for r in simhash_trie.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(i, j) for i, a in rows for j, b in rows[:i] if brute_jaccard(a, b) >= 0.8]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    assert all(find(c) == find(i) for i, c in comp.items())  # never beyond the true components
+    assert sum(comp[i] == comp[j] for i, j in links) >= 0.9 * len(links)
+    assert all(comp[i] == comp[j] for i, j in links if texts[i].lower().split() == texts[j].lower().split())
+
+
+def test_similar_odd_tables(wide_docs, docs_rows, empty_docs, monkeypatch):
+    kept = simhash_trie.keep_similar(wide_docs)
+    text = {r[0]: r[1] or "" for r in docs_rows}
+    first = {}
+    for k in sorted(text):
+        first.setdefault(tuple(text[k].split()), k)
+    assert kept.columns == wide_docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+    assert simhash_trie.keep_similar(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [("", " "), ("a b c", "A  b c"), ("a b c d e f", "a b c d e g"), ("a b", "a c"), ("x " * 50, "x " * 60), ("", "a")])
+def test_jaccard(a, b):
+    assert simhash_trie.jaccard(a, b, 5) == pytest.approx(brute_jaccard(a, b))
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.QUERIES["op4_simhash_trie"](spark, SF_SMALL).collect())) == expected(rows)
