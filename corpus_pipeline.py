@@ -16,14 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id.
-
-    Near copies are what op4 links: fingerprints of 4-word shingles that differ
-    in at most 4 of 64 bits. That is no test of similarity: of edited copies
-    whose 5-word shingles are 0.8 or more alike most stay (README, "What the
-    near-duplicate stage leaves").
-    """
-    return simhash_trie.keep_first(docs, budget=4)
+    """One document of each group of near copies, that of the least doc_id: texts whose 5-word shingles are 0.8 or more alike."""
+    return simhash_trie.keep_similar(docs, least=0.8, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
