@@ -181,20 +181,9 @@ def _deal(masks_of):
     """(bits, mask, key): fingerprints of groups that are too large for one trie, dealt out again by masks of the bits that their group does not fix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks: dict[int, list[int]] = {}
         for batch in batches:
-            bits, mask, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bits", "mask", "key"))
-            for m in np.unique(mask).tolist():
-                if m not in masks:
-                    masks[m] = masks_of([b for b in range(BITS) if not m >> b & 1])
-                own = mask == m
-                b, k = bits[own], key[own].view(np.uint64)
-                for n, more in enumerate(masks[m]):
-                    h = (k ^ (b & np.int64(more)).view(np.uint64) * _ODD[0]) * _ODD[1] + np.uint64(n)
-                    h = (h ^ h >> np.uint64(32)) * _ODD[2]
-                    h ^= h >> np.uint64(29)
-                    both = (m | more) & 0xFFFFFFFFFFFFFFFF
-                    yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(b), both, np.uint64).view(np.int64)), pa.array(h.view(np.int64))], names=["bits", "mask", "key"])
+            for b, m, k in _dealt(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bits", "mask", "key")), masks_of):
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(b), m, np.int64)), pa.array(k)], names=["bits", "mask", "key"])
 
     return run
 
@@ -317,47 +306,107 @@ def _further_masks(free: list[int]) -> list[int]:
     return [_mask(rng.sample(free, min(FURTHER_BITS, len(free)))) for _ in range(FURTHER_KEYS)]
 
 
-def _candidates(budget: int):
-    """(src, dst) for each group of equal key: the pairs within the budget by which its trie first brings two components together."""
+def _dealt(bits: np.ndarray, mask: np.ndarray, key: np.ndarray, masks_of) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(bits, mask, key) of members of groups dealt out by masks of the bits that their group does not fix."""
+    for m in np.unique(mask).tolist():
+        own = mask == m
+        b, k = bits[own], key[own].view(np.uint64)
+        for n, more in enumerate(masks_of([b for b in range(BITS) if not m >> b & 1])):
+            h = (k ^ (b & np.int64(more)).view(np.uint64) * _ODD[0]) * _ODD[1] + np.uint64(n)
+            h = (h ^ h >> np.uint64(32)) * _ODD[2]
+            h ^= h >> np.uint64(29)
+            both = (m | more) & 0xFFFFFFFFFFFFFFFF
+            yield b, both - (1 << 64) if both >> 63 else both, h.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
-            if len(keys) < 2:
-                return None
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ends = np.append(starts[1:], len(keys))
-            of = np.repeat(np.arange(len(starts)), ends - starts)
-            near, v = ends - starts > SMALL, values.view(np.uint64)
-            for o in range(1, SMALL):
-                same = np.flatnonzero((of[o:] == of[:-o]) & ~near[of[o:]])
-                if not len(same):
-                    break
-                near[of[same[np.bitwise_count(v[same] ^ v[same + o]) <= budget]]] = True
-            src, dst = [], []
-            for g in np.flatnonzero(near).tolist():
-                u = np.unique(v[starts[g] : ends[g]])
-                trie = Trie(u, budget)
-                trie.join()
-                src += [u[i] for i, _ in trie.links]
-                dst += [u[j] for _, j in trie.links]
-            if src:
-                return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (src, dst)], names=["src", "dst"])
-            return None
 
-        keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            values = np.concatenate([values, batch.column(1).to_numpy(zero_copy_only=False)])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if out := solve(keys[:whole], values[:whole]):
-                yield out
-            keys, values = keys[whole:], values[whole:]
-        if out := solve(keys, values):
-            yield out
+def _candidates(budget: int, most: int | None):
+    """(src, dst) for each group of equal key: the pairs within the budget by which its trie first brings two components together.
+
+    A group of more than ``most`` is not joined: its members pass through as
+    (bits, null, mask, key), dealt out by further bits; no more than ``most``
+    rows of a group are held.
+    """
+
+    def batch(src, dst, mask=None, key=None) -> pa.RecordBatch:
+        cols = [src, dst, mask, key]
+        n = len(src)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if c is not None else pa.nulls(n, pa.int64()) for c in cols], names=["src", "dst", "mask", "key"])
+
+    def pass_on(key, bits, mask) -> Iterator[pa.RecordBatch]:
+        for b, m, k in _dealt(bits, mask, key, _further_masks):
+            yield batch(b, None, np.full(len(b), m, np.int64), k)
+
+    def solve(key: np.ndarray, bits: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(key) < 2:
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        near, v = ends - starts > SMALL, bits.view(np.uint64)
+        if most is not None and (large := ends - starts > most).any():
+            near &= ~large
+            rows = large[of]
+            yield from pass_on(key[rows], bits[rows], mask[rows])
+        else:
+            large = np.zeros(len(starts), bool)
+        for o in range(1, SMALL):
+            same = np.flatnonzero((of[o:] == of[:-o]) & ~(near | large)[of[o:]])
+            if not len(same):
+                break
+            near[of[same[np.bitwise_count(v[same] ^ v[same + o]) <= budget]]] = True
+        src, dst = [], []
+        for g in np.flatnonzero(near).tolist():
+            u = np.unique(v[starts[g] : ends[g]])
+            trie = Trie(u, budget)
+            trie.join()
+            src += [u[i] for i, _ in trie.links]
+            dst += [u[j] for _, j in trie.links]
+        if src:
+            yield batch(*(np.array(x, np.uint64).view(np.int64) for x in (src, dst)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = [np.zeros(0, np.int64)] * 3, None
+        for one in batches:
+            held = [np.concatenate([h, one.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "bits", "mask"))]
+            key = held[0]
+            if hot is not None:  # the rest of a group that is being passed on
+                n = int(np.searchsorted(key, hot, side="right"))
+                yield from pass_on(*(h[:n] for h in held))
+                held, hot = [h[n:] for h in held], hot if n == len(key) else None
+                key = held[0]
+            if not len(key):
+                continue
+            whole = int(np.searchsorted(key, key[-1]))
+            yield from solve(*(h[:whole] for h in held))
+            held = [h[whole:] for h in held]
+            if most is not None and len(held[0]) > most:
+                hot = held[0][0]
+                yield from pass_on(*held)
+                held = [np.zeros(0, np.int64)] * 3
+        yield from solve(*held)
 
     return run
 
 
+def wide_pairs(prints: DataFrame, budget: int = WIDE) -> DataFrame:
+    """(src, dst): candidate pairs of the distinct fingerprints of ``prints(bits)``, those by which tries of fingerprints that agree under a mask bring components together.
+
+    One shuffle deals all fingerprints out; groups too large for one trie come
+    back and are dealt out by further bits, and only those.
+    """
+    masks = F.array(*(F.lit(m).cast("long") for m in sampled_masks(prints.count())))
+    keys = F.transform(masks, lambda m, i: F.struct(m.alias("mask"), F.xxhash64(i, F.col("bits").bitwiseAND(m)).alias("key")))
+    cur, found = prints.select("bits", F.inline(keys)), None
+    for most in (WIDE_ROWS, 16 * WIDE_ROWS, 16 * WIDE_ROWS, 16 * WIDE_ROWS, None):
+        dealt = cur.select("key", "bits", "mask").repartition("key").sortWithinPartitions("key")
+        out = cut(dealt.mapInArrow(_candidates(budget, most), "src long, dst long, mask long, key long"), "candidates")
+        links = out.where("dst is not null").select("src", "dst")
+        found = links if found is None else found.unionByName(links)
+        cur = out.where("dst is null").select(F.col("src").alias("bits"), "mask", "key")
+        if most is None or not cur.limit(1).count():
+            return found.distinct()
+
+
 _HASHES: dict[bytes, int] = {}
 
 
@@ -417,10 +466,7 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     nodes = slim.groupBy("h1", "h2", "bits").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes, "nodes")
     prints = cut(nodes.groupBy("bits").agg(F.min("node").alias("head")), "distinct")
-    masks = F.array(*(F.lit(m).cast("long") for m in sampled_masks(prints.count())))
-    keys = F.transform(masks, lambda m, i: F.struct(m.alias("mask"), F.xxhash64(i, F.col("bits").bitwiseAND(m)).alias("key")))
-    dealt = _groups(prints.select("bits", F.inline(keys)), _further_masks, WIDE_ROWS).select("key", "bits").repartition("key").sortWithinPartitions("key")
-    met = cut(dealt.mapInArrow(_candidates(budget), "src long, dst long").distinct(), "candidates")
+    met = wide_pairs(prints.select("bits"), budget)
     one, two = prints.select(F.col("bits").alias("src"), F.col("head").alias("a")), prints.select(F.col("bits").alias("dst"), F.col("head").alias("b"))
     across = met.join(one, "src").join(two, "dst").select("a", "b")
     # texts of one fingerprint are held against the first of them

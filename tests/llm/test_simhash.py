@@ -135,6 +135,27 @@ def test_similar_texts(spark, docs, wide_docs, docs_rows, empty_docs):
     assert all(comp[i] == comp[j] for i, j in links if texts[i].lower().split() == texts[j].lower().split())
 
 
+@pytest.mark.parametrize("most", [512, 4])
+def test_wide_pairs_whatever_the_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_trie, "WIDE_ROWS", most)  # 4: groups come back and are dealt out again
+    rng = random.Random(7)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    values = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(30)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash_trie.wide_pairs(spark.createDataFrame([(v,) for v in signed], "bits long")).collect()]
+    assert all(0 < (a ^ b).bit_count() <= simhash_trie.WIDE for a, b in links)
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    assert len({find(v) for v in values}) == 20
+
+
 def test_similar_odd_tables(wide_docs, docs_rows, empty_docs, monkeypatch):
     kept = simhash_trie.keep_similar(wide_docs)
     text = {r[0]: r[1] or "" for r in docs_rows}
