@@ -33,6 +33,19 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``skills`` with the fields that only an index has."""
+    i = F.col("doc_id")
+    return skills(spark, sf_dir).withColumns({"sha256": F.when(i % 17 != 0, F.sha2("skill_md_text", 256)), "license": F.when(i % 6 == 0, "MIT").when(i % 6 == 1, ""), "homepage": F.when(i % 10 == 0, F.concat(F.lit("https://example.org/"), i.cast("string"))), "discovered_at": F.when(i % 19 != 0, "2024-01-01T00:00:00Z")})
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each document, some without a raw object, some that are no JSON."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    raw = F.when(F.col("doc_id") % 4 == 0, "{}").when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"id":'), i, F.lit("}"))).otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"lang":"'), F.col("lang"), F.lit('"}')))
+    return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "no json").otherwise(F.concat(F.lit('{"version":"1","raw":'), raw, F.lit("}"))).alias("manifest"))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("note_id"), _identifier("conv_id").alias("skill_identifier"), F.col("role").alias("source"))
@@ -64,6 +77,13 @@ SKILLS_SQL = """skills AS (
     CASE WHEN doc_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lang, source] END AS tags,
     text AS skill_md_text, n_chars AS zip_size, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS n_entries, 1 AS has_skill_md, doc_id
   FROM documents)"""
+INDEXED_SQL = (
+    SKILLS_SQL
+    + """, indexed AS (
+  SELECT *, CASE WHEN doc_id % 17 <> 0 THEN sha256(skill_md_text) END AS sha256, CASE doc_id % 6 WHEN 0 THEN 'MIT' WHEN 1 THEN '' END AS license,
+    CASE WHEN doc_id % 10 = 0 THEN 'https://example.org/' || doc_id END AS homepage, CASE WHEN doc_id % 19 <> 0 THEN '2024-01-01T00:00:00Z' END AS discovered_at
+  FROM skills)"""
+)
 NOTES_SQL = "notes AS (SELECT conv_id || '-' || turn AS note_id, 'doc-' || lpad(CAST(conv_id AS VARCHAR), 10, '0') AS skill_identifier, role AS source FROM conversations)"
 USAGE_SQL = "usage AS (SELECT 'doc-' || lpad(CAST(user_id AS VARCHAR), 10, '0') AS skill_identifier, count(*) AS usage_count, count(*) FILTER (event_type = 'purchase') AS download_count, count(*) FILTER (event_type = 'click') AS click_count FROM events GROUP BY user_id)"
 SCORED_SQL = (

@@ -156,3 +156,53 @@ def verify(files: DataFrame, manifests: DataFrame, discovered: DataFrame) -> Dat
     have = files.join(m, "identifier", "left").select(state.alias("status"))
     lost = discovered.select("identifier").join(files, "identifier", "left_anti").select(F.lit("missing_zip").alias("status"))
     return have.unionByName(lost).groupBy("status").agg(F.count("*").alias("cnt"))
+
+
+def coverage(skills: DataFrame) -> DataFrame:
+    """place, field, filled, pct of the twelve fields of the index, in one pass; texts count if they are not empty, the others if they are not null."""
+    tests: dict[str, Column] = {c: filled(F.col(c)) for c in ("author", "category", "description", "version")}
+    tests |= {"tags_json": F.size("tags") > 0, "skill_md_text": filled(F.col("skill_md_text")), "sha256": F.col("sha256").isNotNull()}
+    tests |= {c: filled(F.col(c)) for c in ("license", "homepage")}
+    tests |= {c: F.col(c).isNotNull() for c in ("n_entries", "zip_size", "discovered_at")}
+    one = skills.agg(F.count("*").alias("total"), *(F.count_if(t).alias(c) for c, t in tests.items()))
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("field"), F.col(c).alias("filled")) for i, c in enumerate(tests))))
+    return one.select("total", pairs.alias("p")).select("p.place", "p.field", "p.filled", percent(F.col("p.filled"), F.col("total")).alias("pct"))
+
+
+def lowest_coverage(skills: DataFrame, n: int = 3) -> DataFrame:
+    """The n fields that fewest bundles fill, the first of equal ones first."""
+    return coverage(skills).orderBy("pct", "place").limit(n)
+
+
+def raw_coverage(skills: DataFrame, manifests: DataFrame, column: str = "manifest") -> DataFrame:
+    """One row: manifests, those with a raw object that is not empty, and bundles with a sha256. What is no JSON counts as a manifest without raw."""
+    raw = F.get_json_object(column, "$.raw")
+    has = F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False))
+    m = manifests.agg(F.count("*").alias("n_manifests"), F.count_if(has).alias("has_raw"))
+    k = skills.agg(F.count("*").alias("total"), F.count_if(F.col("sha256").isNotNull()).alias("with_sha"))
+    return m.crossJoin(F.broadcast(k))
+
+
+def raw_fields(manifests: DataFrame, column: str = "manifest") -> DataFrame:
+    """field, cnt: how many manifests have each key of the raw object."""
+    keys = F.explode(F.json_object_keys(F.get_json_object(column, "$.raw")))
+    return manifests.select(keys.alias("field")).groupBy("field").agg(F.count("*").alias("cnt"))
+
+
+def engagement_coverage(skills: DataFrame, notes: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row: total, bundles with notes and with usage, and their shares in percent."""
+    one = skills.agg(F.count("*").alias("total")).crossJoin(F.broadcast(notes.agg(F.count_distinct("skill_identifier").alias("with_notes")))).crossJoin(F.broadcast(usage.agg(F.count_if(F.col("usage_count").isNotNull()).alias("with_usage"))))
+    return one.select("*", percent(F.col("with_notes"), F.col("total")).alias("notes_pct"), percent(F.col("with_usage"), F.col("total")).alias("usage_pct"))
+
+
+def digest(skills: DataFrame, notes: DataFrame, usage: DataFrame) -> DataFrame:
+    """The audit's digest as one row: lowest fields, duplicates of names, author Gini, versions, bodies, tags, engagement, single-file bundles."""
+    low = lowest_coverage(skills).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pct", "place", "field"))), lambda x: x["field"]), ",").alias("lowest_fields"))
+    length = F.length("skill_md_text")
+    base = skills.agg(F.count_if(length < 200).alias("thin_bodies"), F.count_if(length > 2000).alias("rich_bodies"), F.count_if(F.col("n_entries") == 1).alias("single_file"))
+    author = gini(skills.where(filled(F.col("author"))).groupBy("author").agg(F.count("*").alias("cnt"))).select(F.col("gini").alias("author_gini"))
+    parts = [base, low, name_duplicate_total(skills).select(F.col("n_skills").alias("name_duplicates")), author, version_major(skills).select("n_above_one"), tag_coverage(skills).select("tagged", "unique_tags"), engagement_coverage(skills, notes, usage).select("total", "with_notes", "with_usage")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out

@@ -28,10 +28,16 @@ def _columns(p: Phrase) -> list[str]:
     return [c for c in COLUMNS if p.columns is None or c in p.columns]
 
 
+def _holds(p: Phrase, c: str) -> Column:
+    """A column holds a phrase, or starts with it if that is asked for."""
+    folded = F.col(f"_{c}")
+    return folded.startswith(p.text.lower()) if p.initial else folded.contains(p.text.lower())
+
+
 def predicate(tree) -> Column | None:
     """Rows that a query matches, over ``_folded``; None if nothing of it can be looked for."""
     if isinstance(tree, Phrase):
-        hits = [F.col(f"_{c}").contains(tree.text.lower()) for c in _columns(tree)]
+        hits = [_holds(tree, c) for c in _columns(tree)]
         return reduce(or_, hits, F.lit(False)) if tree.searchable else None
     if tree.op == "near":
         terms = [p for p in tree.parts if p.searchable]
@@ -48,7 +54,7 @@ def predicate(tree) -> Column | None:
 
 
 def _counts(ps: list[Phrase]) -> dict[str, Column]:
-    return {f"_f{i}": reduce(lambda a, b: a + b, (occurrences(F.col(f"_{c}"), p.text.lower()) for c in _columns(p)), F.lit(0)) for i, p in enumerate(ps)}
+    return {f"_f{i}": reduce(lambda a, b: a + b, (_holds(p, c).cast("int") if p.initial else occurrences(F.col(f"_{c}"), p.text.lower()) for c in _columns(p)), F.lit(0)) for i, p in enumerate(ps)}
 
 
 def match(table: DataFrame, query: str) -> DataFrame:
@@ -65,7 +71,7 @@ def match(table: DataFrame, query: str) -> DataFrame:
     length = reduce(lambda a, b: a + b, (F.greatest(F.length(f"_{c}") - 2, F.lit(0)) for c in COLUMNS))
     rows = _folded(table).withColumn("_dl", length)
     counts = _counts(wanted)
-    holds = [reduce(or_, (F.col(f"_{c}").contains(p.text.lower()) for c in _columns(p)), F.lit(False)) for p in wanted]
+    holds = [reduce(or_, (_holds(p, c) for c in _columns(p)), F.lit(False)) for p in wanted]
     n, mean, *df = rows.agg(F.count("*"), F.avg("_dl"), *(F.count_if(h) for h in holds)).first()
     score = F.lit(0.0)
     for f, k in zip(counts, df):

@@ -22,25 +22,32 @@ def rank_sums(df: DataFrame, value: str, in_a: Column, in_b: Column) -> DataFram
     return s.select("n_a", "n_b", "rank_sum_a", (F.col("rank_sum_a") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u_a"), "tie_term")
 
 
+#: Largest n * m whose exact law is written out (8 bytes a value); larger ones take the law of a sum of uniform variates, which it has become by then.
+LAW_SIZE = 20_000_000
+
+
 def _exact_p(u: float, n: int, m: int) -> float:
-    """Two-sided p of U without ties, from the number of ways to each value."""
-    ways = np.zeros((n + 1, n * m + 1))
-    ways[0, 0] = 1
-    for k in range(1, n + m + 1):
-        for i in range(min(k, n), 0, -1):
-            shift = k - i
-            if shift <= m:
-                ways[i, shift:] += ways[i - 1, : ways.shape[1] - shift]
-    law = ways[n] / ways[n].sum()
-    top = max(u, n * m - u)
-    return float(min(1.0, 2 * law[math.ceil(top) :].sum()))
+    """Two-sided p of U without ties for a small group of n. The number of ways to each value is a Gaussian binomial coefficient, built factor by factor."""
+    n, m = min(n, m), max(n, m)
+    low = min(u, n * m - u)
+    if n * m > LAW_SIZE:
+        x = low / m
+        return min(1.0, 2 * sum((-1) ** k * math.comb(n, k) * (x - k) ** n for k in range(math.floor(x) + 1)) / math.factorial(n))
+    law = np.zeros(n * m + 1)
+    law[0] = 1.0
+    for i in range(1, n + 1):  # times (1 - q^(m+i)) / (1 - q^i)
+        above = law[: max(0, len(law) - m - i)].copy()
+        law[m + i :] -= above
+        pad = np.append(law, np.zeros(-len(law) % i)).reshape(-1, i)
+        law = np.cumsum(pad, 0).ravel()[: n * m + 1]
+    return float(min(1.0, 2 * law[: math.floor(low) + 1].sum() / math.comb(n + m, n)))
 
 
 def mann_whitney_p(n: int, m: int, u: float, ties: float) -> float:
     """Two-sided p of Mann-Whitney's U: exact for a small group without ties, else normal with corrections for ties and continuity."""
     if not n or not m:
         return math.nan
-    if min(n, m) <= 8 and not ties and n * m <= 20_000:
+    if min(n, m) <= 8 and not ties:
         return _exact_p(u, n, m)
     t = n + m
     sd = math.sqrt(n * m / 12 * ((t + 1) - ties / (t * (t - 1))))
@@ -104,6 +111,70 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return rows.join(rank("x"), "x").join(rank("y"), "y").agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
 
 
+def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """n, rho, p (two-sided, by Student's t with n - 2 degrees of freedom), significant, interpretation; p is null where rho is, or for fewer than three rows."""
+    r = spearman(df, x, y).first()
+    n, rho = r["n"], r["rho"]
+    p = None
+    if rho is not None and not math.isnan(rho) and n > 2:
+        p = 0.0 if abs(rho) >= 1 else student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+    says = "significant negative correlation" if p is not None and p < 0.05 and rho < -0.3 else "weak/no correlation"
+    return df.sparkSession.createDataFrame([(n, rho, p, p is not None and p < 0.05, says)], "n long, rho double, p double, significant boolean, interpretation string")
+
+
+def compare_with_intervals(df: DataFrame, value: str, in_a: Column, in_b: Column, label_a: str, label_b: str, replicates: int = 10_000) -> DataFrame:
+    """``compare_groups`` with bootstrap intervals of both means and of their difference; no row for an empty group."""
+    one = compare_groups(df, value, in_a, in_b, label_a, label_b)
+    a, b, d = bootstrap_ci(df.where(in_a), value, replicates), bootstrap_ci(df.where(in_b), value, replicates), bootstrap_difference(df, value, in_a, in_b, replicates)
+    ends = lambda t, name: t.select(F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+    return one.crossJoin(ends(a, "mean_a")).crossJoin(ends(b, "mean_b")).crossJoin(ends(d, "difference"))
+
+
+def group_definitions(sensational: DataFrame, robust: DataFrame) -> list[tuple[DataFrame, Column, Column, str, str]]:
+    """The comparisons of the score tables: (scores, group a, group b, their labels)."""
+    body, feeling, files = F.col("body_len"), F.col("emotional"), F.col("n_entries")
+    return [
+        (sensational, body < 200, body > 2000, "Clickbait (thin body <200ch)", "Clickbait (rich body >2000ch)"),
+        (sensational, feeling >= 0.5, feeling == 0, "Clickbait (emotional title)", "Clickbait (neutral title)"),
+        (robust, files == 1, files > 5, "Robustness (single file)", "Robustness (multi-file >5)"),
+    ]
+
+
+def run_all_tests(sensational: DataFrame, robust: DataFrame, intervals: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(one row for each comparison whose groups both have rows, Spearman's test of the two composites over the bundles that both tables score)."""
+    sensational, robust = cut(sensational, "sensational"), cut(robust, "robust")
+    compare = compare_with_intervals if intervals else compare_groups
+    rows = None
+    for scores, a, b, la, lb in group_definitions(sensational, robust):
+        one = compare(scores, "composite", a, b, la, lb)
+        rows = one if rows is None else rows.unionByName(one)
+    both = sensational.select("identifier", F.col("composite").alias("x")).join(robust.select("identifier", F.col("composite").alias("y")), "identifier")
+    return rows, spearman_test(both, "x", "y")
+
+
+def bootstrap_of(df: DataFrame, value: str, statistic, replicates: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """estimate, low, high of any statistic that is an aggregate of weighted values: ``statistic(value, weight)`` gives its column.
+
+    ``lambda v, w: F.percentile(v, 0.5, w)`` is the median, ``lambda v, w:
+    F.sum(v * w) / F.sum(w)`` the mean. A row weighs as a Poisson variable of
+    mean 1 in each replicate, read off a hash of the row and the replicate;
+    replicates are partial aggregates, so no task holds a whole resample.
+    """
+    steps, term, total = [], math.exp(-1), 0.0
+    for k in range(12):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    numbered = cut(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i")), "values")
+    drawn = numbered.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "i", "replicate"), F.lit(1 << 52)) / float(1 << 52)
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0)).cast("int")
+    each = drawn.withColumn("w", weight).where("w > 0").groupBy("replicate").agg(statistic(F.col("v"), F.col("w")).alias("s"))
+    tail = (1 - ci) / 2
+    ends = each.agg(F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return numbered.agg(statistic(F.col("v"), F.lit(1)).alias("estimate")).crossJoin(ends).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def _poisson(replicates: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlbrook.catalog import NOTES_SQL, SCORED_SQL, SKILLS_SQL, USAGE_SQL, notes, scored_texts, skills, table, usage
+from marlbrook.catalog import INDEXED_SQL, NOTES_SQL, SCORED_SQL, SKILLS_SQL, USAGE_SQL, indexed, manifests, notes, scored_texts, skills, table, usage
 from marlbrook.functions import text as T
 from marlbrook.operators import audit, scoring, search, similarity, stats
 from marlbrook.operators.graph import connected_components
@@ -581,3 +581,73 @@ def note_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = skills(spark, sf_dir).agg(F.count("*").alias("total"), F.count_distinct("author").alias("authors"), F.count_distinct("version").alias("versions"), F.count_if(F.col("n_entries") == 1).alias("single_file"), F.avg(F.length("skill_md_text")).cast("bigint").alias("mean_len"))
     return a.crossJoin(notes(spark, sf_dir).agg(F.count("*").alias("notes"))).crossJoin(usage(spark, sf_dir).agg(F.sum("usage_count").alias("uses")))
+
+
+# The whole audit and the whole set of tests ------------------------------------------
+
+_TEXT_FIELD = "count(*) FILTER ({0} <> '') AS {0}"
+_COVER = f"cov AS (SELECT count(*) AS total, {', '.join(_TEXT_FIELD.format(c) for c in ('author', 'category', 'description', 'version'))}, count(*) FILTER (len(tags) > 0) AS tags_json, {_TEXT_FIELD.format('skill_md_text')}, count(sha256) AS sha256, {_TEXT_FIELD.format('license')}, {_TEXT_FIELD.format('homepage')}, count(n_entries) AS n_entries, count(zip_size) AS zip_size, count(discovered_at) AS discovered_at FROM indexed)"
+_FIELDS = ("author", "category", "description", "version", "tags_json", "skill_md_text", "sha256", "license", "homepage", "n_entries", "zip_size", "discovered_at")
+_COVER += ", fields AS (" + " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS field, {c} AS filled, round(100.0::DOUBLE * {c} / total, 1) AS pct FROM cov" for i, c in enumerate(_FIELDS)) + ")"
+
+
+@query(f"WITH {INDEXED_SQL}, {_COVER} SELECT * FROM fields")
+def field_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.coverage(indexed(spark, sf_dir))
+
+
+@query(f"WITH {INDEXED_SQL}, {_COVER} SELECT * FROM fields ORDER BY pct, place LIMIT 3")
+def lowest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.lowest_coverage(indexed(spark, sf_dir))
+
+
+@query(f"WITH {INDEXED_SQL} SELECT count(*) AS n_manifests, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 4 <> 0) AS has_raw, count(*) AS total, count(sha256) AS with_sha FROM indexed")
+def raw_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.raw_coverage(indexed(spark, sf_dir), manifests(spark, sf_dir))
+
+
+@query("WITH k AS (SELECT unnest(CASE doc_id % 4 WHEN 1 THEN ['id'] WHEN 0 THEN CAST([] AS VARCHAR[]) ELSE ['id', 'lang'] END) AS field FROM documents WHERE doc_id % 9 <> 0) SELECT field, count(*) AS cnt FROM k GROUP BY field")
+def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.raw_fields(manifests(spark, sf_dir))
+
+
+_ENGAGED = "eng AS (SELECT (SELECT count(*) FROM skills) AS total, (SELECT count(DISTINCT skill_identifier) FROM notes) AS with_notes, (SELECT count(usage_count) FROM usage) AS with_usage)"
+
+
+@query(f"WITH {SKILLS_SQL}, {NOTES_SQL}, {USAGE_SQL}, {_ENGAGED} SELECT *, round(100.0::DOUBLE * with_notes / total, 1) AS notes_pct, round(100.0::DOUBLE * with_usage / total, 1) AS usage_pct FROM eng")
+def engagement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.engagement_coverage(skills(spark, sf_dir), notes(spark, sf_dir), usage(spark, sf_dir))
+
+
+@query(
+    f"WITH {INDEXED_SQL}, {NOTES_SQL}, {USAGE_SQL}, {_COVER}, {_ENGAGED}, a AS (SELECT count(*) AS cnt FROM skills WHERE author <> '' GROUP BY author), ar AS (SELECT cnt, row_number() OVER (ORDER BY cnt) AS i FROM a), "
+    "dup AS (SELECT count(*) AS cnt FROM skills WHERE name <> '' GROUP BY name HAVING count(*) > 1), t AS (SELECT unnest(tags) AS tag FROM skills) "
+    "SELECT (SELECT count(*) FROM skills WHERE length(skill_md_text) < 200) AS thin_bodies, (SELECT count(*) FROM skills WHERE length(skill_md_text) > 2000) AS rich_bodies, (SELECT count(*) FROM skills WHERE n_entries = 1) AS single_file, "
+    "(SELECT string_agg(field, ',' ORDER BY pct, place) FROM (SELECT * FROM fields ORDER BY pct, place LIMIT 3)) AS lowest_fields, (SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) FROM dup) AS name_duplicates, "
+    "(SELECT round(2.0 * sum(i * cnt) / (count(*) * sum(cnt)) - (count(*) + 1.0) / count(*), 4) FROM ar) AS author_gini, (SELECT count(*) FROM skills WHERE try_cast(split_part(version, '.', 1) AS INTEGER) > 1) AS n_above_one, "
+    "(SELECT count(*) FROM skills WHERE len(tags) > 0) AS tagged, (SELECT count(DISTINCT tag) FROM t) AS unique_tags, total, with_notes, with_usage FROM eng"
+)
+def audit_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(indexed(spark, sf_dir), notes(spark, sf_dir), usage(spark, sf_dir))
+
+
+def _test_sql(src: str, a: str, b: str, la: str, lb: str) -> str:
+    d = f"(SELECT composite AS x, CASE WHEN {a} THEN 0 ELSE 1 END AS q FROM {src} WHERE {a} OR {b})"
+    r = f"(SELECT x, q, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rk FROM {d})"
+    u = f"(SELECT count(*) FILTER (q = 0) AS n_a, count(*) FILTER (q = 1) AS n_b, sum(rk) FILTER (q = 0) - count(*) FILTER (q = 0) * (count(*) FILTER (q = 0) + 1) / 2.0::DOUBLE AS u, avg(x) FILTER (q = 0) AS ma, avg(x) FILTER (q = 1) AS mb, median(x) FILTER (q = 0) AS da, median(x) FILTER (q = 1) AS db FROM {r})"
+    return f"SELECT '{la}' AS label_a, '{lb}' AS label_b, n_a, n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(da, 6) AS median_a, round(db, 6) AS median_b, u, round(2 * u / (n_a * n_b) - 1, 6) AS delta, CASE WHEN abs(2 * u / (n_a * n_b) - 1) < 0.147 THEN 'negligible' WHEN abs(2 * u / (n_a * n_b) - 1) < 0.33 THEN 'small' WHEN abs(2 * u / (n_a * n_b) - 1) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM {u} WHERE n_a > 0 AND n_b > 0"
+
+
+@query(f"{_ROB} " + " UNION ALL ".join([_test_sql("sensational", "body_len < 200", "body_len > 2000", "Clickbait (thin body <200ch)", "Clickbait (rich body >2000ch)"), _test_sql("sensational", "emotional >= 0.5", "emotional = 0", "Clickbait (emotional title)", "Clickbait (neutral title)"), _test_sql("robust", "n_entries = 1", "n_entries > 5", "Robustness (single file)", "Robustness (multi-file >5)")]))
+def group_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_all_tests(_sens(spark, sf_dir), _rob(spark, sf_dir), intervals=False)[0].drop("p", "significant")
+
+
+@query()
+def group_tests_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_all_tests(_sens(spark, sf_dir), _rob(spark, sf_dir))[0]
+
+
+@query()
+def spearman_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_all_tests(_sens(spark, sf_dir), _rob(spark, sf_dir), intervals=False)[1]

@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "struct<identifier:string,name:string,description:string,version:string,tags:array<string>,author:string>"
-#: Single characters to sweep with; callers add words of their own.
+#: What is swept with by default. The words are fixed values: fewer would find fewer bundles.
 SWEEP_CHARACTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [str(d) for d in range(10)]
+SWEEP_WORDS = [
+    "写", "画", "做", "学", "看", "用", "找", "买", "玩", "聊",
+    "ai", "gpt", "文案", "写作", "绘画", "设计", "工具", "助手",
+    "小红书", "营销", "运营", "爆款", "笔记", "翻译", "总结",
+    "代码", "编程", "效率", "模板", "攻略", "教程", "测评",
+]
+SWEEP_KEYWORDS = SWEEP_CHARACTERS + SWEEP_WORDS
 PAGE_ROWS, MAX_PAGES, MAX_ROUNDS, LEAST_GROWTH = 100, 50, 3, 10
 
 
@@ -98,4 +105,4 @@ def discover(listing: Callable[[int], list[dict]] | None, search: Callable[[str,
             found = listed(listing)
         except CookieInvalid:
             found = {}
-    return found if len(found) >= FEW else sweep(keywords or SWEEP_CHARACTERS, search, found)
+    return found if len(found) >= FEW else sweep(keywords or SWEEP_KEYWORDS, search, found)

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from marlbrook.functions.text import human_size
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "identifier") -> str:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "identifier", order: str | None = None) -> str:
     """Write ``new`` and the rows of the newest version under ``path`` that it does not replace as the next version; returns its path.
 
+    Of several rows of ``new`` with one key the last by ``order`` stays
+    (without it the last by all columns), a partial aggregate.
+
     A version is a folder of its own and is there once its _SUCCESS file is, so
     readers of the one before are never disturbed and a lost job leaves none.
     """
-    old = current(spark, path)
+    old, whole = current(spark, path), F.struct(*new.columns)
+    new = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(order, whole) if order else whole).alias("r")).select("r.*")
     rows = new if old is None else new.unionByName(spark.read.parquet(f"{path}/v{old:08d}").join(new.select(key), key, "left_anti"), allowMissingColumns=True)
     out = f"{path}/v{0 if old is None else old + 1:08d}"
     rows.write.mode("overwrite").parquet(out)
@@ -49,6 +53,20 @@ def to_json(small: DataFrame) -> str:
     return json.dumps([json.loads(r) for r in small.toJSON().toLocalIterator()], ensure_ascii=False, indent=2)
 
 
+def write_document(path: str, sections: dict[str, DataFrame | object]) -> None:
+    """A nested JSON report in one file of the driver: each section a list of rows, or a plain value."""
+    whole = {k: [json.loads(r) for r in v.toJSON().toLocalIterator()] if isinstance(v, DataFrame) else v for k, v in sections.items()}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(whole, f, ensure_ascii=False, indent=2)
+
+
+def read_document(spark: SparkSession, path: str, section: str, schema: str) -> DataFrame:
+    """The rows of one section of a nested JSON report; a section that is one object is one row, a missing one none."""
+    raw = spark.read.text(path, wholetext=True).select(F.get_json_object("value", f"$.{section}").alias("s"))
+    rows = F.when(F.col("s").startswith("["), F.from_json("s", f"array<struct<{schema}>>")).otherwise(F.array(F.from_json("s", f"struct<{schema}>")))
+    return raw.where("s is not null").select(F.explode(rows).alias("r")).select("r.*")
+
+
 def markdown(title: str, sections: dict[str, DataFrame]) -> str:
     """A report: each section a table with all its rows."""
     out = [f"# {title}", ""]
