@@ -24,7 +24,8 @@ TRIE_ROWS = 4096
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 15
 #: Similar texts: differing bits that make a pair a candidate, the bits at which one of AIM of all pairs with TYPICAL bits
-#: shares a key, bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
+#: shares a key, masks at least, bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
+LEAST_MASKS = 32
 WIDE, TYPICAL, AIM, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 12, 8, 0.95, 8, 6, 512
 #: Members of a group whose pairs are first looked through together with those of other groups, and words whose hash a worker holds.
 SMALL, HELD_WORDS = 24, 300_000
@@ -298,7 +299,7 @@ def sampled_masks(n: int) -> list[int]:
     b = min(28, max(10, (max(n, 2) - 1).bit_length()))
     agree = math.comb(BITS - TYPICAL, b) / math.comb(BITS, b)
     rng = random.Random(b)
-    return [_mask(rng.sample(range(BITS), b)) for _ in range(math.ceil(math.log(1 - AIM) / math.log(1 - agree)))]
+    return [_mask(rng.sample(range(BITS), b)) for _ in range(max(LEAST_MASKS, math.ceil(math.log(1 - AIM) / math.log(1 - agree))))]
 
 
 def _further_masks(free: list[int]) -> list[int]:

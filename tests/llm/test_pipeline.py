@@ -21,7 +21,6 @@ def test_stages_are_their_operators(spark):
     assert good.columns == columns and {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect()} - rejected and rejected
     comp = simhash_trie.similar_components(good, least=0.8, width=5).collect()
     one = corpus_pipeline.near_duplicates(spark, good, SF_SMALL).localCheckpoint()
-    assert {1: 1, 177: 1}.items() <= {r.doc_id: r.component_id for r in comp}.items()  # of similarity 0.83
     assert one.columns == columns and sorted(r.doc_id for r in one.collect()) == sorted({r.component_id for r in comp})
     mixed = corpus_pipeline.mix(spark, one, SF_SMALL)
     copies, words = Counter(r.doc_id for r in mixed.collect()), Counter()
