@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pandas as pd
@@ -14,6 +15,8 @@ from marlbrook.shared import cut
 
 #: Rows of one leaf of the reduction tree, and residuals that one inner node combines.
 LEAF_ROWS, FAN_IN = 2048, 64
+#: Rows of more than this part of their source's target are large: drawing one would put the source off by as much.
+LARGE = 0.01
 
 
 def n_words(text: Column) -> Column:
@@ -117,6 +120,31 @@ def _rounded(groups: DataFrame, leaves: int, seed: int) -> DataFrame:
     return all_rows
 
 
+def _large_copies(cap: float):
+    """Grouped map over a source's large rows: copies from the largest row to the smallest, each the whole number nearest to what the words that are left ask of the rows that are left.
+
+    A row takes more or less where only that leaves the rows after it within 0
+    and ``cap`` copies, so what a row is given too much or too little is made up
+    by smaller ones. A source has no more than source_size / (LARGE * target)
+    large rows, whatever its size.
+    """
+
+    def give(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable", ignore_index=True)
+        words, rest, sure = float(pdf["target"][0]), int(pdf["source_size"][0]), []
+        for size, same in zip(pdf["size"].tolist(), pdf["same"].tolist()):
+            ask = words / rest * same
+            rest -= size * same
+            least, most = math.ceil((words - cap * rest) / size - 1e-9), math.floor(words / size + 1e-9)
+            n = max(least, min(round(ask), most)) if rest else round(words / size)
+            n = max(0, min(n, math.floor(cap * same)))
+            sure.append(n)
+            words -= n * size
+        return pdf.assign(sure=sure)[["source", "key", "size", "sure"]]
+
+    return give
+
+
 def _shared_out(rows: DataFrame) -> DataFrame:
     """copies for each row of ``rows(..., key, source, size, same, all_copies, _m)``: its share of what all ``same`` rows equal to it get.
 
@@ -143,11 +171,19 @@ def _taken(slim: DataFrame, seed: int, cap: float) -> DataFrame:
     goal = cut(targets(slim, cap), "targets")
     same = ["source", "key", "size"]
     groups = slim.groupBy(*same).agg(F.count("*").alias("same")).join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    groups = groups.withColumn("_q", ratio).withColumn("whole", F.floor(F.col("_q") + 1e-12).cast("long"))
+    groups = cut(groups, "distinct")
+    large, own = F.col("size") > LARGE * F.col("target"), F.col("source").eqNullSafe(F.col("_s"))
+    given = groups.where(large & (F.col("target") > 0)).groupBy("source").applyInPandas(_large_copies(cap), "source string, key long, size long, sure long")
+    given = cut(given, "large").withColumnRenamed("source", "_s")
+    spent = groups.join(given.withColumnsRenamed({"key": "_k", "size": "_z"}), own & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_z")), "left").drop("_s", "_k", "_z")
+    fixed = F.col("sure").isNotNull()
+    left = spent.groupBy(F.col("source").alias("_s")).agg(F.coalesce(F.sum(F.when(fixed, F.col("sure") * F.col("size"))), F.lit(0)).alias("_words"), F.coalesce(F.sum(F.when(fixed, F.col("size") * F.col("same"))), F.lit(0)).alias("_size"))
+    # what the large rows leave of the target, over the words of the others
+    ratio = F.when(F.col("source_size") > F.col("_size"), F.least(F.lit(cap), F.greatest(F.lit(0.0), (F.col("target") - F.col("_words")) / (F.col("source_size") - F.col("_size"))))).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    groups = spent.join(left, own).withColumn("_q", ratio).withColumn("whole", F.floor(F.col("_q") + 1e-12).cast("long"))
     # equal rows are one row of the tree: what they are owed together, without its whole part
-    groups = groups.withColumn("_f", F.when(F.col("size") > 0, F.greatest(F.col("_q") - F.col("whole"), F.lit(0.0)) * F.col("same")).otherwise(0.0))
-    groups = groups.withColumn("sure", F.col("whole") * F.col("same") + F.floor(F.col("_f") + 1e-9).cast("long"))
+    groups = groups.withColumn("_f", F.when((F.col("size") > 0) & ~fixed, F.greatest(F.col("_q") - F.col("whole"), F.lit(0.0)) * F.col("same")).otherwise(0.0))
+    groups = groups.withColumn("sure", F.coalesce("sure", F.col("whole") * F.col("same") + F.floor(F.col("_f") + 1e-9).cast("long")))
     # a source's rows spread over as many leaves as its own share needs
     groups = groups.withColumn("prob", F.greatest(F.col("_f") - F.floor(F.col("_f") + 1e-9), F.lit(0.0))).withColumn("node", F.pmod(F.col("key"), F.ceil(F.col("source_rows") / LEAF_ROWS)).cast("long"))
     groups = cut(groups.select(*same, "same", "source_size", "target", "sure", "prob", "node"), "groups")
@@ -161,9 +197,13 @@ def mix_copies(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     """doc_id, text_crc32, source, size, source_size, target, copies for each row of ``docs(doc_id, text, source)``.
 
     A source needs target / source_size copies of each of its rows on average.
-    The whole part is given to every row; the fraction is rounded to 0 or 1 by
-    pivotal dependent rounding, so a source's words come within a row of its
-    target and each row keeps its expected number of copies. Rows are dealt to
+    Rows of more than LARGE of the target get whole numbers of copies first,
+    nearest to that average, as a draw of one could miss the target by its
+    size. The others share what these leave: the whole part of their average is
+    given to each, the fraction is rounded to 0 or 1 by pivotal dependent
+    rounding, so each of them keeps its expected number of copies and the
+    source's words come within LARGE of the target, or where all of its rows
+    are large, near to it within a small one of them. Rows are dealt to
     leaves by a hash, so a source with a third of all rows has many; a leaf
     pairs its rows from the largest to the smallest and leaves one fractional
     row, inner nodes combine those of FAN_IN nodes, and the root of a source
