@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 from pyspark.sql import Window
 
 from marlbrook.operators.graph import connected_components
@@ -23,13 +23,16 @@ BITS = 64
 TRIE_ROWS = 4096
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 15
-#: Similar texts: differing bits that make a pair a candidate, the bits at which one of AIM of all pairs with TYPICAL bits
-#: shares a key, masks at least, bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
-LEAST_MASKS = 32
-WIDE, TYPICAL, AIM, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 12, 8, 0.95, 8, 6, 512
+#: Similar texts: fingerprints of each text, differing bits of one of them that make a pair a candidate, and of all of them
+#: together beyond which it is none (unrelated texts differ in half of all bits).
+WAYS, WIDE, FAR = 3, 12, 48
+#: Masks for each fingerprint: AIM of the pairs with TYPICAL differing bits agree under one, LEAST_MASKS at least, of bits for
+#: FEW unrelated fingerprints in a group; bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
+TYPICAL, AIM, LEAST_MASKS, FEW, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 8, 0.9, 16, 8, 8, 6, 512
 #: Members of a group whose pairs are first looked through together with those of other groups, and words whose hash a worker holds.
 SMALL, HELD_WORDS = 24, 300_000
 
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -41,22 +44,33 @@ def fingerprint(text: str, width: int = 4) -> int:
     lower case; with fewer words the whole sequence is the only shingle, with
     none the fingerprint is 0.
     """
+    return fingerprints(text, width, 1)[0]
+
+
+def fingerprints(text: str, width: int, ways: int) -> list[int]:
+    """``fingerprint`` and ``ways`` - 1 more of the same kind, each of other hashes: the XXH64 mixed with another odd number."""
     words = text.encode("utf-8", "surrogatepass").translate(_FOLD).translate(_SPACE).split(b" ")
     words = [w for w in words if w]
     if not words:
-        return 0
+        return [0] * ways
     line = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *(e + 1 for e in ends[:-1])]
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((ways, BITS), np.int64)
     for at in range(0, n, SLICE):
         till = min(n, at + SLICE)
         hashes = [digest(line[a:b], 42) for a, b in zip(starts[at:till], ends[at + width - 1 : till + width - 1] if len(words) > width else ends[-1:])]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        h = np.array(hashes, np.uint64)
+        for way in range(ways):
+            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[way] += bits.sum(0, dtype=np.int64)
+            h = (h ^ h >> np.uint64(31)) * _ODD[way % 3]
+            h ^= h >> np.uint64(29)
+            h = (h ^ h >> np.uint64(32)) * _ODD[(way + 1) % 3]
+            h ^= h >> np.uint64(32)
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(ones * 2 > n, axis=1)]
 
 
 def simhash(text: Column, width: int = 4) -> Column:
@@ -70,6 +84,18 @@ def simhash(text: Column, width: int = 4) -> Column:
     return prints.asNondeterministic()(text)
 
 
+def simhashes(text: Column, width: int, ways: int) -> Column:
+    """``fingerprints`` as an array of longs."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            all_bits = np.array([fingerprints(t or "", width, ways) for t in batch.to_pylist()], np.uint64).reshape(-1).view(np.int64)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ways), pa.array(all_bits))
+
+    return prints.asNondeterministic()(text)
+
+
 def hex64(bits: Column) -> Column:
     """16 lower-case hexadecimal digits of a long's bits."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
@@ -189,9 +215,6 @@ def _deal(masks_of):
     return run
 
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-
-
 def _stars(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
@@ -295,8 +318,8 @@ def _keep(docs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def sampled_masks(n: int) -> list[int]:
-    """Masks of random bits for n fingerprints: as many bits as n has, so that few others agree under one, and as many masks as let AIM of the pairs with TYPICAL differing bits agree under one."""
-    b = min(28, max(10, (max(n, 2) - 1).bit_length()))
+    """Masks of random bits for n fingerprints: of so many bits that about FEW others agree under one, and as many masks as let AIM of the pairs with TYPICAL differing bits agree under one."""
+    b = min(28, max(10, (max(n // FEW, 2) - 1).bit_length()))
     agree = math.comb(BITS - TYPICAL, b) / math.comb(BITS, b)
     rng = random.Random(b)
     return [_mask(rng.sample(range(BITS), b)) for _ in range(max(LEAST_MASKS, math.ceil(math.log(1 - AIM) / math.log(1 - agree))))]
@@ -392,11 +415,14 @@ def _candidates(budget: int, most: int | None):
 def wide_pairs(prints: DataFrame, budget: int = WIDE) -> DataFrame:
     """(src, dst): candidate pairs of the distinct fingerprints of ``prints(bits)``, those by which tries of fingerprints that agree under a mask bring components together.
 
-    One shuffle deals all fingerprints out; groups too large for one trie come
+    With a column ``way``, only fingerprints of one way meet. One shuffle deals all fingerprints out; groups too large for one trie come
     back and are dealt out by further bits, and only those.
     """
-    masks = F.array(*(F.lit(m).cast("long") for m in sampled_masks(prints.count())))
-    keys = F.transform(masks, lambda m, i: F.struct(m.alias("mask"), F.xxhash64(i, F.col("bits").bitwiseAND(m)).alias("key")))
+    if "way" not in prints.columns:
+        prints = prints.withColumn("way", F.lit(0))
+    most = prints.groupBy("way").count().agg(F.max("count")).first()[0] or 0
+    masks = F.array(*(F.lit(m).cast("long") for m in sampled_masks(most)))
+    keys = F.transform(masks, lambda m, i: F.struct(m.alias("mask"), F.xxhash64("way", i, F.col("bits").bitwiseAND(m)).alias("key")))
     cur, found = prints.select("bits", F.inline(keys)), None
     for most in (WIDE_ROWS, 16 * WIDE_ROWS, 16 * WIDE_ROWS, 16 * WIDE_ROWS, None):
         dealt = cur.select("key", "bits", "mask").repartition("key").sortWithinPartitions("key")
@@ -448,12 +474,15 @@ def _similar(width: int, least: float):
 def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budget: int = WIDE) -> DataFrame:
     """doc_id, component_id for each row of ``docs(doc_id, text)`` with a doc_id: links are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
 
-    Fingerprints of these shingles meet under the bits of random masks and are
-    joined by tries with a wide budget; what a trie gives is the pairs that
-    first bring two of its components together, fewer than its members, never
-    all pairs. Each such pair is then held against its texts, so no link is
-    below ``least``; a pair whose fingerprints differ in more than the budget,
-    or agree under no mask, is missed (measured in the README). Equal texts are
+    Each text has WAYS fingerprints of these shingles, from hashes of their own,
+    so a pair that one of them puts far apart is near by another. Those of one
+    way meet under the bits of random masks and are joined by tries with a wide
+    budget; what a trie gives is the pairs that first bring two of its
+    components together, fewer than its members, never all pairs. Pairs that
+    differ in more than FAR bits of all ways are unrelated texts near by chance
+    and go; every other pair is held against its texts, so no link is below
+    ``least``. A pair that differs in more than the budget by every way, or
+    agrees under no mask, is missed (measured in the README). Equal texts are
     one node from the start, whatever their number. The number of masks follows
     the number of fingerprints.
 
@@ -463,16 +492,21 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.where("doc_id is not null").select("doc_id", text.alias("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    slim = cut(keyed.select("doc_id", "h1", "h2", simhash(F.col("text"), width).alias("bits")), "fingerprints")
+    slim = cut(keyed.select("doc_id", "h1", "h2", simhashes(F.col("text"), width, WAYS).alias("bits")), "fingerprints")
     nodes = slim.groupBy("h1", "h2", "bits").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes, "nodes")
-    prints = cut(nodes.groupBy("bits").agg(F.min("node").alias("head")), "distinct")
-    met = wide_pairs(prints.select("bits"), budget)
+    each = nodes.select("node", F.posexplode("bits").alias("way", "bits"))
+    prints = cut(each.groupBy("way", "bits").agg(F.min("node").alias("head")), "distinct")
+    met = wide_pairs(prints.select("way", "bits"), budget)
+    # bits of two ways that are equal by chance name a pair that the texts refute
     one, two = prints.select(F.col("bits").alias("src"), F.col("head").alias("a")), prints.select(F.col("bits").alias("dst"), F.col("head").alias("b"))
     across = met.join(one, "src").join(two, "dst").select("a", "b")
     # texts of one fingerprint are held against the first of them
-    inside = nodes.join(prints, "bits").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    pairs = cut(across.unionByName(inside), "pairs")
+    inside = each.join(prints, ["way", "bits"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    met = across.unionByName(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    pairs = cut(met.join(x, "a").join(y, "b").where(apart <= FAR).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(wanted.join(nodes, "node").select("node", "h1", "h2", F.col("least").alias("doc_id")), "wanted")
     # repeated rows collapse in the partial aggregate
