@@ -30,7 +30,7 @@ WAYS, WIDE, FAR = 3, 12, 48
 #: FEW unrelated fingerprints in a group; bits of a further dealing and its keys, and fingerprints of one trie (a wide budget prunes less).
 TYPICAL, AIM, LEAST_MASKS, FEW, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 8, 0.9, 16, 8, 8, 6, 512
 #: Members of a group whose pairs are first looked through together with those of other groups, and words whose hash a worker holds.
-SMALL, HELD_WORDS = 24, 300_000
+SMALL, HELD_WORDS = 24, 100_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -90,7 +90,7 @@ def simhashes(text: Column, width: int, ways: int) -> Column:
     @F.arrow_udf(ArrayType(LongType()))
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            all_bits = np.array([fingerprints(t or "", width, ways) for t in batch.to_pylist()], np.uint64).reshape(-1).view(np.int64)
+            all_bits = np.array([fingerprints(t.as_py() or "", width, ways) for t in batch], np.uint64).reshape(-1).view(np.int64)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ways), pa.array(all_bits))
 
     return prints.asNondeterministic()(text)
@@ -466,7 +466,8 @@ def _similar(width: int, least: float):
     @F.arrow_udf(BooleanType())
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            yield pa.array([jaccard(x or "", y or "", width) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+            yield pa.array([jaccard(x.as_py() or "", y.as_py() or "", width) >= least for x, y in zip(a, b)], pa.bool_())
+        _HASHES.clear()  # workers are used again by other stages
 
     return check
 
@@ -506,14 +507,24 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     met = across.unionByName(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    pairs = cut(met.join(x, "a").join(y, "b").where(apart <= FAR).select("a", "b"), "pairs")
+    pairs = cut(met.join(x, "a").join(y, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= FAR), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(wanted.join(nodes, "node").select("node", "h1", "h2", F.col("least").alias("doc_id")), "wanted")
     # repeated rows collapse in the partial aggregate
     texts = cut(keyed.join(wanted, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    checked = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = cut(checked.where(_similar(width, least)("x", "y")).select("a", "b"), "links")
-    comp = connected_components(links, "a", "b")
+
+    def held(some: DataFrame) -> DataFrame:
+        checked = some.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return cut(checked.where(_similar(width, least)("x", "y")).select("a", "b"), "links")
+
+    # each text's nearest first; of the other pairs only those that this leaves in two components need their texts
+    nearest = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "nearest")
+    links = held(nearest)
+    comp = cut(connected_components(links, "a", "b"), "joined")
+    one, two = comp.select(F.col("node").alias("a"), F.col("component").alias("of_a")), comp.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = cut(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
+    comp = connected_components(links.unionByName(held(rest)), "a", "b")
     named = cut(nodes.join(comp, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component")), "named")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = cut(named.join(first, "component").select("h1", "h2", "component_id"), "labels")
