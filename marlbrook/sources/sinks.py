@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from marlbrook.functions.text import human_size
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "identifier", order: str | None = None) -> str:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "identifier", order: str | None = None, fresh: bool = False) -> str:
     """Write ``new`` and the rows of the newest version under ``path`` that it does not replace as the next version; returns its path.
 
     Of several rows of ``new`` with one key the last by ``order`` stays
-    (without it the last by all columns), a partial aggregate.
+    (without it the last by all columns), a partial aggregate. ``fresh`` leaves
+    all old rows out.
 
     A version is a folder of its own and is there once its _SUCCESS file is, so
     readers of the one before are never disturbed and a lost job leaves none.
     """
     old, whole = current(spark, path), F.struct(*new.columns)
     new = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(order, whole) if order else whole).alias("r")).select("r.*")
-    rows = new if old is None else new.unionByName(spark.read.parquet(f"{path}/v{old:08d}").join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+    rows = new if old is None or fresh else new.unionByName(spark.read.parquet(f"{path}/v{old:08d}").join(new.select(key), key, "left_anti"), allowMissingColumns=True)
     out = f"{path}/v{0 if old is None else old + 1:08d}"
     rows.write.mode("overwrite").parquet(out)
     return out
