@@ -12,11 +12,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 from pyspark.sql import Window
 
 from marlbrook.operators.graph import connected_components
-from marlbrook.shared import cut
+from marlbrook.shared import cut, drop
 
 BITS = 64
 #: Fingerprints that share a key and are joined in one trie; larger groups are dealt out by more bits first.
@@ -31,6 +31,13 @@ WAYS, WIDE, FAR = 3, 12, 48
 TYPICAL, AIM, LEAST_MASKS, FEW, FURTHER_BITS, FURTHER_KEYS, WIDE_ROWS = 8, 0.9, 16, 8, 8, 6, 512
 #: Members of a group whose pairs are first looked through together with those of other groups, and words whose hash a worker holds.
 SMALL, HELD_WORDS = 24, 100_000
+#: Texts of the sample that shows which shingles are common, texts of it that hold a common one at least, and common ones that are told apart:
+#: these only set the order of shingles, and any order finds the same pairs.
+SAMPLE, COMMON, MOST_COMMON = 4000, 6, 20_000
+#: Entries that a worker holds before it passes them on, and texts for each task that looks through entries.
+BLOCK_ENTRIES, TASK_TEXTS = 200_000, 50_000
+#: Bits of an outline at most, a power of two.
+OUTLINE_BITS = 2048
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -85,13 +92,19 @@ def simhash(text: Column, width: int = 4) -> Column:
 
 
 def simhashes(text: Column, width: int, ways: int) -> Column:
-    """``fingerprints`` as an array of longs."""
+    """bits: ``fingerprints`` as an array of longs; outline: the text's ``outline``. One worker gives both."""
 
-    @F.arrow_udf(ArrayType(LongType()))
+    @F.arrow_udf(StructType().add("bits", ArrayType(LongType())).add("outline", BinaryType()))
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            all_bits = np.array([fingerprints(t.as_py() or "", width, ways) for t in batch], np.uint64).reshape(-1).view(np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ways), pa.array(all_bits))
+            bits, outs = np.zeros((len(batch), ways), np.uint64), []
+            for i, t in enumerate(batch):
+                text = t.as_py() or ""
+                bits[i] = fingerprints(text, width, ways)
+                outs.append(outline(text, width))
+            arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ways), pa.array(bits.reshape(-1).view(np.int64)))
+            yield pa.StructArray.from_arrays([arrays, pa.array(outs, pa.binary())], names=["bits", "outline"])
+        _HASHES.clear()
 
     return prints.asNondeterministic()(text)
 
@@ -472,6 +485,243 @@ def _similar(width: int, least: float):
     return check
 
 
+def outline(text: str, width: int) -> bytes:
+    """The number n of distinct shingles of a text (4 bytes), and for each of about n places, OUTLINE_BITS at most, whether an odd number of them fall there.
+
+    Two texts differ in at least as many shingles as places.
+    """
+    h = shingles(text, width)
+    b = min(OUTLINE_BITS, max(64, 1 << (max(len(h), 1) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+    return len(h).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(rows: list[bytes], b: int) -> np.ndarray:
+    """The places of outlines of b bits or more, b of them."""
+    out = np.zeros((len(rows), b // 64), np.uint64)
+    size = np.fromiter(map(len, rows), np.int64, len(rows)) - 4
+    for c in np.unique(size).tolist():
+        at = np.flatnonzero(size == c)
+        places = np.frombuffer(b"".join(rows[i][4:] for i in at.tolist()), np.uint64).reshape(len(at), -1, b // 64)
+        out[at] = np.bitwise_xor.reduce(places, axis=1)
+    return out
+
+
+def _may_differ(n: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that two texts of n together may differ in."""
+    return (1 - least) / (1 + least) * n + 1e-6
+
+
+def _near(least: float):
+    """False only for pairs of outlines whose texts are below ``least``."""
+
+    @F.arrow_udf(BooleanType())
+    def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            out = []
+            for a, b in zip(x.to_pylist(), y.to_pylist()):
+                bits = (min(len(a), len(b)) - 4) * 8
+                differ = int(np.bitwise_count(_folded([a], bits) ^ _folded([b], bits)).sum())
+                out.append(bool(differ <= _may_differ(int.from_bytes(a[:4], "little") + int.from_bytes(b[:4], "little"), least)))
+            yield pa.array(out, pa.bool_())
+
+    return check
+
+
+def _ceil(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+def _sample_shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).view(np.int64))], names=["s"])
+
+    return run
+
+
+def _prefixes(width: int, least: float, common: np.ndarray, buckets: int):
+    """(bucket, entries): the first shingles of each text, so many that two texts of similarity ``least`` have one of them in common.
+
+    A text of n shingles shares at least least * n with such a partner, so the
+    first that both have, in one order for all texts, is among the first
+    n - least * n + 1 of either. The order puts ``common`` shingles last. An
+    entry is 40 bits of the shingle, its place and n (both rounded), and 48
+    bits of the text's hash.
+    """
+    at_of = np.argsort(common)
+    known = common[at_of]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def emit() -> pa.RecordBatch:
+            key, shape, ref = (np.concatenate(x) for x in zip(*held))
+            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            word = key << np.uint64(24) | shape
+            order = np.lexsort((word, bucket))
+            bucket, word, ref = bucket[order], word[order], ref[order]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [word[a:b].tobytes() + (ref[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (ref[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() for a, b in zip(starts, np.append(starts[1:], len(bucket)))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+
+        for batch in batches:
+            last = None
+            for h, text in sorted(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2)), key=lambda x: x[0]):
+                if h == last:
+                    continue
+                last, s = h, shingles(text.as_py(), width)
+                n = len(s)
+                if len(known) and n:
+                    place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[place] == s
+                    s = np.concatenate([s[~hit], common[np.sort(at_of[place[hit]])]])
+                first = s[: n - _ceil(least * n) + 1] if n else np.zeros(1, np.uint64)
+                part = np.arange(len(first), dtype=np.uint64) * np.uint64(256) // np.uint64(max(n, 1))
+                shape = np.minimum(part, np.uint64(255)) << np.uint64(16) | np.uint64(int(math.log1p(n) * 2048))
+                held.append((first, shape, np.full(len(first), h[0] & 0xFFFFFFFFFFFF, np.uint64)))
+                n_held += len(first)
+                if n_held > BLOCK_ENTRIES:
+                    yield emit()
+                    held, n_held = [], 0
+        if held:
+            yield emit()
+        _HASHES.clear()
+
+    return run
+
+
+def _sizes(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For entries: the least and the greatest n, and the most shingles from the place on."""
+    q = (shape & 0xFFFF).astype(float)
+    most = np.exp((q + 1) / 2048) - 1
+    return np.maximum(np.exp(q / 2048) - 1.001, 0), most, most * (1 - (shape >> 16 & 0xFF) / 256)
+
+
+def _may_pair(x: tuple, y: tuple, least: float) -> np.ndarray:
+    """Whether texts whose first common shingle these entries are can reach ``least``."""
+    shared, sizes = np.minimum(x[2], y[2]), np.minimum(x[1], y[1])
+    return (shared + 1e-3 >= least / (1 + least) * (x[0] + y[0])) & (sizes + 1e-3 >= least * np.maximum(x[0], y[0]))
+
+
+def _shared(least: float):
+    """(key, ref, shape): the entries of a bucket whose shingle another text has too, without those that can reach ``least`` with none of these."""
+
+    def solve(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        n = [len(b) // 14 for b in blobs]
+        word = np.concatenate([np.frombuffer(b, np.uint64, m) for b, m in zip(blobs, n)])
+        low = np.concatenate([np.frombuffer(b, np.uint32, m, m * 8) for b, m in zip(blobs, n)]).astype(np.int64)
+        ref = np.concatenate([np.frombuffer(b, np.uint16, m, m * 12) for b, m in zip(blobs, n)]).astype(np.int64) << 32 | low
+        key, shape = (word >> np.uint64(24)).astype(np.int64), (word & np.uint64(0xFFFFFF)).astype(np.int64)
+        order = np.lexsort((ref, key))
+        key, ref, shape = key[order], ref[order], shape[order]
+        own = np.concatenate([[True], (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])])  # copies of a text that other workers met
+        key, ref, shape = key[own], ref[own], shape[own]
+        same = key[1:] == key[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, ref, shape = key[many], ref[many], shape[many]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(key)))
+        keep, sizes = np.repeat(size > SMALL, size), _sizes(shape)
+        for o in range(1, SMALL):
+            at = np.flatnonzero((key[o:] == key[:-o]) & ~(keep[o:] & keep[:-o]))
+            if not len(at):
+                break
+            at = at[_may_pair([x[at] for x in sizes], [x[at + o] for x in sizes], least)]
+            keep[at] = keep[at + o] = True
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep] | bucket << 40, ref[keep], shape[keep])], names=["key", "ref", "shape"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blobs = None, []
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != bucket and blobs:
+                    yield from solve(bucket, blobs)
+                    blobs = []
+                bucket = b
+                blobs.append(blob)
+        if blobs:
+            yield from solve(bucket, blobs)
+
+    return run
+
+
+def _across(least: float):
+    """(a, b, of_a, of_b) for entries (key, node, component, shape, outline) that come by key: nodes of two components that have the key and can reach ``least``."""
+
+    def solve(key: np.ndarray, node: np.ndarray, of: np.ndarray, shape: np.ndarray, outs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        mixed = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+        out, n_out = [], 0
+        for lo, hi in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            n = np.array([int.from_bytes(x[:4], "little") for x in outs[lo:hi]], float)
+            order = np.argsort(n, kind="stable")
+            n, v, c, own = n[order], node[lo:hi][order], of[lo:hi][order], outs[lo:hi][order].tolist()
+            shared = n * (1 - (shape[lo:hi][order] >> 16 & 0xFF) / 256)
+            size, base, places = 0, 0, None
+            for i in range(hi - lo - 1):
+                till = int(np.searchsorted(n, n[i] / least + 1e-6, side="right"))
+                at = i + 1 + np.flatnonzero(c[i + 1 : till] != c[i])
+                at = at[np.minimum(shared[at], shared[i]) + 1e-6 >= least / (1 + least) * (n[at] + n[i])]
+                if not len(at):
+                    continue
+                if len(own[i]) != size:  # texts further on have as many places or more
+                    size, base = len(own[i]), i
+                    places = _folded(own[i:], (size - 4) * 8)
+                differ = np.bitwise_count(places[at - base] ^ places[i - base]).sum(1, dtype=np.int64)
+                at = at[differ <= _may_differ(n[at] + n[i], least)]
+                if len(at):
+                    swap = v[at] < v[i]
+                    vi, ci = np.full(len(at), v[i]), np.full(len(at), c[i])
+                    out.append((np.where(swap, v[at], vi), np.where(swap, vi, v[at]), np.where(swap, c[at], ci), np.where(swap, ci, c[at])))
+                    n_out += len(at)
+                    if n_out > BLOCK_ENTRIES:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "of_a", "of_b"])
+                        out, n_out = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "of_a", "of_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, object)]
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield from solve(*(h[:whole] for h in held))
+            held = [h[whole:] for h in held]
+        yield from solve(*held)
+
+    return run
+
+
+def pairs_left(texts: DataFrame, nodes: DataFrame, least: float, width: int) -> DataFrame:
+    """(a, b, of_a, of_b, n): all pairs of ``nodes(node, h1, component, outline)`` in two components that may have a similarity of ``least``, with the first shingles that both have.
+
+    Prefix filtering, so none of ``least`` or more is left out, whatever its
+    fingerprints: of each text of ``texts(h1, h2, text)`` the first shingles
+    are dealt out, and only those that a text of another component has go on.
+    Members of one component are not paired, nor texts whose outlines differ in
+    too many places.
+    """
+    count = nodes.count()
+    sample = texts.where(F.pmod("h1", F.lit(max(1, count // SAMPLE))) == 0).groupBy("h1", "h2").agg(F.first("text").alias("text")).select("text")
+    often = sample.mapInArrow(_sample_shingles(width), "s long").groupBy("s").count().where(F.col("count") >= COMMON)
+    common = [r[0] for r in often.orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()][::-1]
+    tasks = max(64, count // TASK_TEXTS)
+    entries = texts.select("h1", "h2", "text").mapInArrow(_prefixes(width, least, np.array(common, np.int64).view(np.uint64), 4 * tasks), "bucket long, entries binary")
+    dealt = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = cut(dealt.mapInArrow(_shared(least), "key long, ref long, shape long"), "shared")
+    named = cut(shared.join(nodes.select(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFFFFFF)).alias("ref"), "node", "component"), "ref").select("key", "node", "component", "shape"), "entries")
+    mixed = cut(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    told = named.join(mixed, "key", "left_semi").join(nodes.select("node", "outline"), "node").select("key", "node", "component", "shape", "outline")
+    pairs = told.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long, of_a long, of_b long")
+    return pairs.groupBy("a", "b", "of_a", "of_b").agg(F.count("*").alias("n"))
+
+
 def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budget: int = WIDE) -> DataFrame:
     """doc_id, component_id for each row of ``docs(doc_id, text)`` with a doc_id: links are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
 
@@ -481,11 +731,16 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     budget; what a trie gives is the pairs that first bring two of its
     components together, fewer than its members, never all pairs. Pairs that
     differ in more than FAR bits of all ways are unrelated texts near by chance
-    and go; every other pair is held against its texts, so no link is below
-    ``least``. A pair that differs in more than the budget by every way, or
-    agrees under no mask, is missed (measured in the README). Equal texts are
-    one node from the start, whatever their number. The number of masks follows
-    the number of fingerprints.
+    and go, and so do those whose outlines show them to be below ``least``;
+    every other pair is held against its texts, so no link is below ``least``. Equal texts are one node from the start, whatever their number.
+    The number of masks follows the number of fingerprints.
+
+    A pair that differs in more than the budget by every way, agrees under no
+    mask, or was joined in a trie only over pairs that their texts refute, is
+    not among these. So all pairs of two components that may reach ``least``
+    come from their first shingles (``pairs_left``) and are held against their
+    texts: of each two components the pair with most of them first, then all
+    that still lie in two. No pair of ``least`` or more is left out.
 
     component_id is the least doc_id reached, itself included. Null texts are
     empty ones; texts without words are alike. Rows that share a doc_id keep a
@@ -493,8 +748,8 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.where("doc_id is not null").select("doc_id", text.alias("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    slim = cut(keyed.select("doc_id", "h1", "h2", simhashes(F.col("text"), width, WAYS).alias("bits")), "fingerprints")
-    nodes = slim.groupBy("h1", "h2", "bits").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    slim = cut(keyed.select("doc_id", "h1", "h2", simhashes(F.col("text"), width, WAYS).alias("p")).select("doc_id", "h1", "h2", "p.*"), "fingerprints")
+    nodes = slim.groupBy("h1", "h2", "bits", "outline").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes, "nodes")
     each = nodes.select("node", F.posexplode("bits").alias("way", "bits"))
     prints = cut(each.groupBy("way", "bits").agg(F.min("node").alias("head")), "distinct")
@@ -505,26 +760,41 @@ def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5, budg
     # texts of one fingerprint are held against the first of them
     inside = each.join(prints, ["way", "bits"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     met = across.unionByName(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
+    x, y = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("outline").alias("p")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("outline").alias("q"))
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    pairs = cut(met.join(x, "a").join(y, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= FAR), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(wanted.join(nodes, "node").select("node", "h1", "h2", F.col("least").alias("doc_id")), "wanted")
-    # repeated rows collapse in the partial aggregate
-    texts = cut(keyed.join(wanted, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    pairs = cut(met.join(x, "a").join(y, "b").select("a", "b", apart.alias("apart"), "p", "q").where(F.col("apart") <= FAR).where(_near(least)("p", "q")).drop("p", "q"), "pairs")
 
-    def held(some: DataFrame) -> DataFrame:
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        wanted = cut(wanted.join(nodes, "node").select("node", "h1", "h2", F.col("least").alias("doc_id")), "wanted")
+        # repeated rows collapse in the partial aggregate
+        return cut(keyed.join(wanted, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    def held(some: DataFrame, texts: DataFrame) -> DataFrame:
         checked = some.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return cut(checked.where(_similar(width, least)("x", "y")).select("a", "b"), "links")
 
+    def still_apart(some: DataFrame, comp: DataFrame) -> DataFrame:
+        one, two = comp.select(F.col("node").alias("a"), F.col("component").alias("of_a")), comp.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+        return cut(some.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
+
+    texts = texts_of(pairs)
     # each text's nearest first; of the other pairs only those that this leaves in two components need their texts
     nearest = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "nearest")
-    links = held(nearest)
+    links = held(nearest, texts)
+    rest = still_apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), cut(connected_components(links, "a", "b"), "joined"))
+    links = links.unionByName(held(rest, texts))
+    drop(texts)
     comp = cut(connected_components(links, "a", "b"), "joined")
-    one, two = comp.select(F.col("node").alias("a"), F.col("component").alias("of_a")), comp.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
-    rest = cut(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
-    comp = connected_components(links.unionByName(held(rest)), "a", "b")
+    parted = cut(nodes.join(comp, "node", "left").select("node", "h1", "outline", F.coalesce("component", "node").alias("component")), "parted")
+    left = cut(pairs_left(keyed.select("h1", "h2", "text"), parted, least, width), "left")
+    if left.limit(1).count():
+        texts = texts_of(left)
+        first = cut(left.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b"), "first")
+        links = links.unionByName(held(first, texts))
+        rest = still_apart(left.select("a", "b").join(first, ["a", "b"], "left_anti"), cut(connected_components(links, "a", "b"), "joined"))
+        comp = connected_components(links.unionByName(held(rest, texts)), "a", "b")
+        drop(texts)
     named = cut(nodes.join(comp, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component")), "named")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = cut(named.join(first, "component").select("h1", "h2", "component_id"), "labels")

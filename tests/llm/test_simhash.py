@@ -135,6 +135,45 @@ def test_similar_texts(spark, docs, wide_docs, docs_rows, empty_docs):
     assert all(comp[i] == comp[j] for i, j in links if texts[i].lower().split() == texts[j].lower().split())
 
 
+def odd_pairs():
+    """Pairs just above and just below 0.8, of long and of short texts, beside lines that very many texts share."""
+    rng, texts = random.Random(11), ["", " ", "\n \t", "one", "one two", "ONE  two"]
+    line = " ".join(f"common{i}" for i in range(14))
+    for i in range(160):
+        n = rng.choice([8, 9, 12, 30, 60, 120, 300])
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        edited = list(words)
+        for at in rng.sample(range(n), max(1, n // 45)):
+            edited[at] = f"z{rng.randrange(3000)}"
+        texts += [" ".join(words), " ".join(edited), " ".join(words[: -max(1, n // 6)]), " ".join(words + words[:2])]
+        if i % 4 == 0:
+            texts += [line + " " + " ".join(words[:20]), line + " " + " ".join(edited[:20])]
+    return texts
+
+
+@pytest.mark.parametrize("common, small", [(6, 24), (2, 2), (10**9, 24)])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, common, small):
+    """Components are those of all pairs of 0.8 or more, whatever the order of shingles and the size of groups."""
+    monkeypatch.setattr(simhash_trie, "COMMON", common)
+    monkeypatch.setattr(simhash_trie, "SMALL", small)
+    texts = odd_pairs()
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [set(simhash_trie.shingles(t, 5).tolist()) for t in texts]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if not x and not y or x & y and len(x & y) / len(x | y) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, simhash_trie.similar_components(rows).collect())) == {i: find(i) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("most", [512, 4])
 def test_wide_pairs_whatever_the_groups(spark, monkeypatch, most):
     monkeypatch.setattr(simhash_trie, "WIDE_ROWS", most)  # 4: groups come back and are dealt out again
