@@ -36,8 +36,9 @@ SMALL, HELD_WORDS = 24, 100_000
 SAMPLE, COMMON, MOST_COMMON = 4000, 6, 20_000
 #: Entries that a worker holds before it passes them on, and texts for each task that looks through entries.
 BLOCK_ENTRIES, TASK_TEXTS = 200_000, 50_000
-#: Bits of an outline at most, a power of two.
-OUTLINE_BITS = 2048
+#: Bits of an outline, powers of two: as many as the text has shingles up to SHORT_BITS, beyond that as many as show unrelated
+#: long texts to be such, OUTLINE_BITS at most.
+SHORT_BITS, OUTLINE_BITS = 2048, 1 << 14
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -485,13 +486,21 @@ def _similar(width: int, least: float):
     return check
 
 
+def _power(n: int) -> int:
+    """The least power of two that is n or more."""
+    return 1 << (max(n, 1) - 1).bit_length()
+
+
 def outline(text: str, width: int) -> bytes:
     """The number n of distinct shingles of a text (4 bytes), and for each of about n places, OUTLINE_BITS at most, whether an odd number of them fall there.
 
-    Two texts differ in at least as many shingles as places.
+    Two texts differ in at least as many shingles as places. Unrelated ones
+    differ in half of the places, which must be more than texts of 0.8 may
+    differ in (a quarter of n if one is as long as it may be), so long texts
+    have places for 5 in 8 of their shingles at least.
     """
     h = shingles(text, width)
-    b = min(OUTLINE_BITS, max(64, 1 << (max(len(h), 1) - 1).bit_length()))
+    b = min(OUTLINE_BITS, max(64, min(SHORT_BITS, _power(len(h))), _power(5 * len(h) // 8)))
     odd = np.bincount((h & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
     return len(h).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 from marlbrook.llm import queries, simhash_trie
 from marlbrook.llm.simhash_trie import Trie, fingerprint
@@ -174,6 +175,27 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch, common, small):
     assert dict(map(tuple, simhash_trie.similar_components(rows).collect())) == {i: find(i) for i in range(len(texts))}
 
 
+def test_unrelated_long_texts_are_no_pairs(spark, monkeypatch):
+    """Long texts that share some lines only are not handed on to be compared; those of 0.8 or more all are, whatever their lengths."""
+    monkeypatch.setattr(simhash_trie, "COMMON", 10**9)  # shared lines are no later than others
+    rng = random.Random(3)
+    lines = [" ".join(f"common{rng.randrange(500)}" for _ in range(9)) for _ in range(40)]
+
+    def long_text(n):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+        for line in lines:
+            words.insert(rng.randrange(len(words)), line)
+        return " ".join(words)
+
+    texts = [long_text(n) for n in (2100, 3300, 4100, 5100, 6000, 6600, 7500, 9000, 14_000, 20_000)]
+    texts += [" ".join(t.split()[: len(t.split()) * 7 // 8]) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").selectExpr("node", "node AS component", "text", "xxhash64(text) AS h1", "xxhash64(1, text) AS h2")
+    nodes = rows.select("node", "h1", "component", simhash_trie.simhashes(F.col("text"), 5, 1)["outline"].alias("outline"))
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if brute_jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(near) == 10
+    assert {(r.a, r.b) for r in simhash_trie.pairs_left(rows, nodes, 0.8, 5).collect()} == near
+
+
 @pytest.mark.parametrize("most", [512, 4])
 def test_wide_pairs_whatever_the_groups(spark, monkeypatch, most):
     monkeypatch.setattr(simhash_trie, "WIDE_ROWS", most)  # 4: groups come back and are dealt out again
