@@ -16,8 +16,10 @@ step through their lattices together.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,9 @@ from pyspark.sql import DataFrame
 from marlbrook.llm.units import Rows
 
 #: Distinct units whose lattice a worker holds, edges of these, and bytes of the texts of one round.
-HELD_UNITS, HELD_EDGES, ROUND_BYTES = 200_000, 6_000_000, 1 << 19
+HELD_UNITS, HELD_EDGES, ROUND_BYTES = 100_000, 3_000_000, 1 << 19
+#: Characters of the units whose lattices are built at once; one unit alone may have more.
+LEARN_CHARS = 1 << 15
 #: Characters of a unit beyond which it is split further where no piece can cross, and places that are tried for each cut.
 PART_CHARS, PART_LOOK = 4096, 256
 #: Decisions of a path that are looked at first for where the next path may branch off, and by how much noise can lift a bound at most.
@@ -52,6 +56,35 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
 
 
+def _extended(held: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` behind it: a stretch of a buffer that has room, so that held lattices are not copied for every few new ones. What else views the buffer behind ``held`` is overwritten."""
+    n, m = len(held), len(held) + len(more)
+    room = held.base
+    if room is None or len(room) < m:
+        room = np.empty(m + m // 4, held.dtype)  # what is not written takes no memory
+        room[:n] = held
+    room[n:m] = more
+    return room[:m]
+
+
+def _moved(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``held[at]`` at the front of the same buffer."""
+    held[: len(at)] = held[at]
+    return held[: len(at)]
+
+
+def _runs(units: list[str]) -> Iterator[list[str]]:
+    """``units`` in runs of LEARN_CHARS characters at most, one unit at least."""
+    at, held = 0, 0
+    for i, u in enumerate(units):
+        if held and held + len(u) > LEARN_CHARS:
+            yield units[at:i]
+            at, held = i, 0
+        held += len(u)
+    if units:
+        yield units[at:]
+
+
 class Lattices:
     """The pieces of a model file, and the lattices of the units met.
 
@@ -108,7 +141,7 @@ class Lattices:
         self.piece = np.zeros(0, np.int32)  # id, or -1 - code point
 
     def shrink(self) -> None:
-        """Keep the units that were met most often, up to half of what may be held."""
+        """Keep the units that were met most often, up to half of what may be held; in the buffers that hold them, so that no second copy stands beside."""
         units = list(self.row)
         nodes = np.append(self.root, len(self.first))
         edges = np.append(self.first, len(self.goal))
@@ -117,13 +150,14 @@ class Lattices:
         keep = np.sort(often[np.cumsum(m[often]) <= HELD_EDGES // 2])
         n, m = np.diff(nodes)[keep], m[keep]
         new_root, new_edge = np.cumsum(n) - n, np.cumsum(m) - m
-        at_node = np.arange(int(n.sum())) + np.repeat(self.root[keep] - new_root, n)
-        at_edge = np.arange(int(m.sum())) + np.repeat(self.first[self.root[keep]] - new_edge, m)
-        self.first = (self.first[at_node] + np.repeat(new_edge - self.first[self.root[keep]], n)).astype(np.int32)
-        goal = self.goal[at_edge]
-        self.goal = np.where(goal < 0, -1, goal + np.repeat(new_root - self.root[keep], m)).astype(np.int32)
+        by_node, by_edge = (self.root[keep] - new_root).astype(np.int32), (self.first[self.root[keep]] - new_edge).astype(np.int32)
+        at_node = np.arange(int(n.sum()), dtype=np.int32) + np.repeat(by_node, n)
+        at_edge = np.arange(int(m.sum()), dtype=np.int32) + np.repeat(by_edge, m)
+        self.first = _moved(self.first, at_node)
+        self.first -= np.repeat(by_edge, n)
+        self.upto, self.logp, self.rest, self.goal, self.piece = (_moved(x, at_edge) for x in (self.upto, self.logp, self.rest, self.goal, self.piece))
+        self.goal -= np.where(self.goal < 0, 0, np.repeat(by_node, m))
         self.root, self.hits = new_root.astype(np.int32), np.zeros(len(keep), np.int64)
-        self.upto, self.logp, self.rest, self.piece = self.upto[at_edge], self.logp[at_edge], self.rest[at_edge], self.piece[at_edge]
         self.row = Rows(zip((units[k] for k in keep.tolist()), range(len(keep))), len(keep))
 
     def learn(self, units: list[str]) -> None:
@@ -194,12 +228,11 @@ class Lattices:
         # every place is a node: single characters lead everywhere
         node0, edge0 = len(self.first), len(self.goal)
         goal = np.where(ends_here, -1, stop + node0)
-        self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int64)])
-        self.root = np.concatenate([self.root, (node0 + np.cumsum(lens) - lens).astype(np.int32)])
-        self.first = np.concatenate([self.first, (edge0 + heads).astype(np.int32)])
-        self.upto = np.concatenate([self.upto, run.astype(np.float32)])
-        self.logp, self.rest = np.concatenate([self.logp, logp.astype(np.float32)]), np.concatenate([self.rest, rest.astype(np.float32)])
-        self.goal, self.piece = np.concatenate([self.goal, goal.astype(np.int32)]), np.concatenate([self.piece, piece])
+        self.hits = _extended(self.hits, np.zeros(len(units), np.int64))
+        self.root = _extended(self.root, node0 + np.cumsum(lens) - lens)
+        self.first = _extended(self.first, edge0 + heads)
+        self.upto, self.logp, self.rest = _extended(self.upto, run), _extended(self.logp, logp), _extended(self.rest, rest)
+        self.goal, self.piece = _extended(self.goal, goal), _extended(self.piece, piece)
 
     def parts(self, unit: str) -> Iterator[str]:
         """A very long unit in parts of about PART_CHARS characters, cut where no piece that it holds lies across, so that the lattice falls apart there; longer where no place is found."""
@@ -228,12 +261,12 @@ class Lattices:
         counts = np.fromiter(map(len, units), np.int64, len(units))
         rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
         new, long, self.row.new, self.row.long = self.row.new, self.row.long, [], []
-        for a in range(0, len(new), 20_000):
-            self.learn(new[a : a + 20_000])
+        for run in _runs(new):
+            self.learn(run)
         self.kept = len(self.root), len(self.first), len(self.goal)
         rows = np.where(rows < 0, len(self.root) - 1 - rows, rows)
-        for a in range(0, len(long), 500):
-            self.learn(long[a : a + 500])
+        for run in _runs(long):
+            self.learn(run)
         self.hits += np.bincount(rows, minlength=len(self.hits))
         return rows, counts
 
@@ -428,6 +461,14 @@ def lattices(path: str, alpha: float) -> Lattices:
     return _LOADED[path, alpha]
 
 
+def _give_back() -> None:
+    """Return what the worker has freed to the system, which counts it until then; the worker is used again by other stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def _rounds(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, str]]]:
     """(doc_id, text) of a batch in rounds of about equal size; a null text is an empty one."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
@@ -462,6 +503,7 @@ def _sampler(path: str, k: int, alpha: float, seed: int, with_ids: bool):
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names + ["ids"] * with_ids)
+        _give_back()
 
     return run
 

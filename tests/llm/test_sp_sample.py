@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -93,6 +94,17 @@ def test_held_edges_are_bounded(monkeypatch):
         assert lat.kept[2] < 5000 + 300 * 7 * 3
 
 
+def test_memory_of_a_worker_that_meets_new_units():
+    lat, rng = sp_sample.Lattices(PIECE), np.random.default_rng(5)
+    texts = [" ".join(map(bytes.decode, rng.integers(97, 123, (50_000, 9), np.uint8).view("S9").ravel().tolist())) for _ in range(6)]
+    tracemalloc.start()
+    for text in texts:
+        lat.rows([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lat.row) > 50_000 and peak < 160e6
+
+
 def test_no_piece_lies_across_the_parts_of_a_long_unit(lat, monkeypatch):
     """So all ways go through the ends of parts, and the lattice's law is the product of theirs."""
     rng = np.random.default_rng(6)
