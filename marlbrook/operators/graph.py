@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +17,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38)))")).first())
 
 
-#: Edges (16 bytes each) that one task may hold: a graph that small, or contracted so far, is finished there in one pass.
+#: Edges that one task may hold: a graph that small, or contracted so far, is finished there in one pass.
 FOLD_EDGES = 1_000_000
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) of all edges -> (node, least node of its component), by passing the smaller label along until nothing changes."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
-    if not parts:
-        return
-    u, v = (np.concatenate(x) for x in zip(*parts))
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of n nodes, given the ends of the edges, by passing the smaller label along until nothing changes."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -41,9 +36,20 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             new = jumped
         if (new == label).all():
-            break
+            return label
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of all edges -> (node, least node of its component)."""
+    edges = [b for b in batches if len(b)]
+    if not edges:
+        return
+    u, v = (pa.chunked_array([b.column(k) for b in edges]) for k in (0, 1))
+    nodes = pc.unique(pa.chunked_array(u.chunks + v.chunks))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    label = least_labels(len(nodes), *(pc.index_in(x, nodes).to_numpy() for x in (u, v)))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], names=["node", "component"])
 
 
 def _lower(a: Column, b: Column) -> list[Column]:
@@ -69,8 +75,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not state[0]:
             break
-        if state[0] <= FOLD_EDGES and dict(cur.dtypes) == {"u": "bigint", "v": "bigint"}:
-            whole = cut(cur.coalesce(1).mapInArrow(_fold, "node long, component long"), "folded")
+        if state[0] <= FOLD_EDGES and dict(cur.dtypes) in ({"u": "bigint", "v": "bigint"}, {"u": "string", "v": "string"}):
+            kind = cur.dtypes[0][1]
+            whole = cut(cur.coalesce(1).mapInArrow(_fold, f"node {kind}, component {kind}"), "folded")
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
