@@ -72,6 +72,11 @@ def human_size(n: Column) -> Column:
     return out.otherwise(F.format_string("%.1fTB", F.bround(x / float(1024**4), 1)))
 
 
+def size_in_kb(n: Column) -> Column:
+    """Bytes below 1,024, from there on always KB, ties to even; null for nothing."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n >= 1024, F.format_string("%.1fKB", F.bround(n.cast("double") / 1024.0, 1)))
+
+
 def whole(c: Column) -> Column:
     """A string as an integer, null if it is none; white space around it does not matter."""
     s = strip(c)

@@ -40,3 +40,13 @@ def test_same_rows(spark, duck, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 20
+
+
+def test_sizes_of_empty_unknown_and_long_texts(spark, tmp_path):
+    sizes = [None, 0, 1, -5, 1023, 1024, 1280, 1331, 1048575, 1048576, 5 << 20, 3 << 30, (7 << 40) + 768]
+    rows = [(i, "x" if i % 2 else None, n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entry_point.queries()["sha256_and_size"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.sql(entry_point.oracle_sql()["sha256_and_size"]).fetchall())
